@@ -1,0 +1,2 @@
+"""Reserved. The analysis is a batch job end to end: run-wide nulls, priors and
+q-values need every read, so there is no streaming operator to offer here."""
