@@ -156,10 +156,12 @@ def neighbour_counts(points: DataFrame, queries: DataFrame, ids: list[str], fram
 
     def count(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         asked_x, asked_y, r = (asked[c].to_numpy(float) for c in ("gx", "gy", "radius"))
-        found = counts_within(own.gx.to_numpy(float), own.gy.to_numpy(float), asked_x, asked_y, r, metric) if len(own) and len(asked) else np.zeros(len(asked), np.int64)
+        found = counts_within(own.px.to_numpy(float), own.py.to_numpy(float), asked_x, asked_y, r, metric) if len(own) and len(asked) else np.zeros(len(asked), np.int64)
         return asked[names].assign(found=found)
 
-    each = points.select(*place, "gx", "gy").groupBy(*place).cogroup(sent.groupBy(*place)).applyInPandas(count, out)
+    own_place = [f"p_{c}" for c in place]
+    own = points.select(*(F.col(c).alias(f"p_{c}") for c in place), F.col("gx").alias("px"), F.col("gy").alias("py"))
+    each = own.groupBy(*own_place).cogroup(sent.groupBy(*place)).applyInPandas(count, out)
     total = each.groupBy(*names).agg(F.sum("found").alias("found"))
     return queries.join(total, names).withColumn("neighbours", F.greatest(F.col("found") - 1, F.lit(0))).drop("found")
 
