@@ -29,7 +29,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,44 +47,80 @@ POPULATION = 4
 EPOCHS = 3
 GENERATIONS = 8
 ROUNDS = 4
-CACHE = 300_000
+CACHE = 200_000
+
+#: The pre-token pattern of byte-level vocabularies of the GPT-2 kind.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PROBE = "It's a probe, isn't it? We'll see: 12345 naïve façades;\nÜber-große Straße <|endoftext|> — 日本語のテキスト ... (x_1+y^2)=z!! don'T"
 
 #: GPT-2's map of bytes to printable characters: printable Latin-1 stands for itself, the rest follows from 256 on.
 _printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _as_char = {b: chr(b) for b in _printable} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - _printable))}
-_byte_map = str.maketrans({chr(b): c for b, c in _as_char.items()})
+_as_byte = {c: b for b, c in _as_char.items()}
 _plain = "[!-~¡-ɏ]"  # no white space in any version of Unicode
 _safe_cut = re.compile(f"(?<={_plain}) (?={_plain})")
 _unsafe = re.compile(r"^ |\s ")
 
 
 class Encoder(dict):
-    """Ids of texts by the ``tokenizers`` library, as little-endian 32-bit integers.
+    """Ids of texts as the ``tokenizers`` library gives them, as little-endian 32-bit integers.
 
     A byte-level pre-token never runs across a space that follows a visible
-    character. Texts are cut there, and the ids of a bounded number of cut-outs
-    (each with its space) are remembered.
+    character. Texts are cut there, and the ids of cut-outs (each with its space)
+    are remembered, in two generations of ``CACHE`` entries. A cut-out that is not
+    known is split into pre-tokens by the vocabulary's pattern, and each of them is
+    merged by the vocabulary's own ranks; texts with unusual white space go through
+    the library itself. The two must agree on a probe before an encoder is used.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        ranks = {bytes(map(_as_byte.__getitem__, token)): rank for token, rank in vocabulary.items() if _as_byte.keys() >= set(token)}
+        self.find = regex.compile(PRE_TOKEN).findall
+        self.merge = tiktoken.Encoding("same", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        first, *rest = PROBE.split(" ")
+        if b"".join([self.whole(first), *map(self.__getitem__, rest)]) != self.whole(PROBE):
+            raise ValueError(f"{path} is not a byte-level vocabulary whose ids are in the order of its merges")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _merged(self, part: str) -> bytes:
+        return array("I", self.merge(part.encode())).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if part[0] == " " and part[1:].isalpha():
+            return self[part[1:]]
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= CACHE:
+                self.parts.clear()
+            ids = self.parts[part] = self._merged(part)
+        return ids
+
     def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isalpha() and max(word) < "ɐ":  # one pre-token in any version of Unicode
+                ids = self._merged(" " + word)
+            else:
+                found = self.find(" " + word)
+                ids = self._merged(found[0]) if len(found) == 1 else b"".join(map(self._part, found))
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        if word.isalpha() and max(word) < "ɐ":  # one pre-token, straight to the merges
-            tokens = self.model.tokenize((" " + word).encode().decode("latin-1").translate(_byte_map))
-            ids = np.array([t.id for t in tokens], "<u4").tobytes()
-        else:
-            ids = self.whole(" " + word)
         self[word] = ids
         return ids
 
@@ -96,6 +134,11 @@ class Encoder(dict):
         return self.whole(first) + b"".join(map(self.__getitem__, rest))
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids."""
     rest = n % capacity
@@ -107,13 +150,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     """``(id, piece, start, length, ids_crc32[, ids])``."""
 
     def start():
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         end = np.array([end_id], "<u4").tobytes()
 
         def step(ids, texts):
             out: list[tuple] = []
             for key, text in zip(ids, texts):
-                data = encoder.encode(text) + end
+                data = encode(text) + end
                 for k, (at, n) in enumerate(cut(len(data) // 4, capacity)):
                     part = data[4 * at : 4 * (at + n)]
                     out.append((key, k, at, n, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if with_ids else [])))
