@@ -10,12 +10,13 @@ line that a third of all documents share costs no more than any other. Of the
 distinct lines most have no partner, which their halves tell: one edit leaves
 the first or the last ``c`` characters alone, ``c`` being the power of two that
 both lengths share below half a line. Lines whose beginning or end occurs with
-no other line of fitting length are out; the others emit their variants: for
-each place the edit can be at, the line with that character deleted and the line
-as it stands, each as a hash of what is before and what is after the place.
-Two lines within one edit share such a key, and any two lines that share one are
-within one edit, so one minimum a key finds each line's earliest partner and no
-pairs are formed. The partner is then verified by edit distance.
+no other line of fitting length are out, and of the others all windows of a chunk
+outside which no other line is the same. For each place in what is left that the
+edit can be at, a line emits its variants: the line with that character deleted
+and the line as it stands, each as a hash of what is before and what is behind
+the place. Two lines within one edit share such a key, and any two lines that
+share one are within one edit, so one minimum a key finds each line's earliest
+partner and no pairs are formed. The partner is then verified by edit distance.
 
 Hashes of beginnings and ends are chained over chunks, so a variant costs a chunk
 and not the line, however long it is.
@@ -29,13 +30,13 @@ arbitrary but fixed order; null ids come first; an empty table gives no rows;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilesieve.plans.shared import materialize
 
 MIN_CHARS = 16
-CHUNK = 128
+CHUNK = 64
 
 
 def _lines_of(text: Column) -> Column:
@@ -92,32 +93,49 @@ def candidates(lines: DataFrame) -> DataFrame:
     return each.join(shared, key).select("k1", "k2", "place", "from_start", "c")
 
 
-def _chain(text: Column) -> Column:
-    """Hashes of the first 0, 1, 2, ... whole chunks of a text."""
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{{CHUNK}}}"), F.lit(0))
-    return F.aggregate(chunks, F.array(F.lit(0).cast("bigint")), lambda done, x: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), x))))
-
-
-def _beginnings(text: str, n: str) -> Column:
-    """The hash of the first i characters, for i from 0 to n."""
-    return F.expr(f"transform(sequence(0, {n}), i -> xxhash64(get({text}_chain, i div {CHUNK}), coalesce(left(get({text}_parts, i div {CHUNK}), i % {CHUNK}), '')))")
-
-
-def variants(survivors: DataFrame) -> DataFrame:
-    """``(key1, key2, place)`` from ``(place, line, from_start, c)``."""
-    parts = F.lit(f"(?s).{{1,{CHUNK}}}")
-    s = survivors.withColumn("back", F.reverse("line")).withColumn("n", F.char_length("line"))
+def _with_chunks(lines: DataFrame) -> DataFrame:
+    """Adds the chunks of each line and of its reverse, and the hashes of their whole first
+    0, 1, 2, ... chunks."""
+    out = lines.withColumn("back", F.reverse("line")).withColumn("n", F.char_length("line"))
     for text in ("line", "back"):
-        s = s.withColumn(f"{text}_parts", F.regexp_extract_all(F.col(text), parts, F.lit(0))).withColumn(f"{text}_chain", _chain(F.col(text)))
-    s = s.select("place", "n", "from_start", "c", _beginnings("line", "n").alias("before"), _beginnings("back", "n").alias("after"))
-    # an edit behind the shared beginning, or in front of the shared end
-    places = "if(from_start, sequence(c, n), sequence(0, n - c))"
-    keys = F.expr(
-        f"""flatten(transform({places}, i -> filter(array(
-            if(i < n, struct(xxhash64(get(before, i), get(after, n - 1 - i), i) as key1, hash(get(before, i), get(after, n - 1 - i), i) as key2), null),
-            struct(xxhash64(get(before, i), get(after, n - i), i) as key1, hash(get(before, i), get(after, n - i), i) as key2)), x -> x is not null)))"""
-    )
-    return s.select("place", F.explode(keys).alias("k")).select("k.key1", "k.key2", "place").distinct()
+        parts = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+        chain = F.aggregate(parts, F.array(F.lit(0).cast("bigint")), lambda done, x: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), x))))
+        out = out.withColumn(f"{text}_parts", parts).withColumn(f"{text}_chain", chain)
+    return out
+
+
+def _first(text: str, count: str, chunk: str | None = None) -> str:
+    """The hash of the first ``count`` characters, from the whole chunks before and a part."""
+    chunk = chunk or f"({count}) div {CHUNK}"
+    return f"xxhash64(get({text}_chain, cast({chunk} as int)), coalesce(left(get({text}_parts, cast({chunk} as int)), cast(({count}) - ({chunk}) * {CHUNK} as int)), ''))"
+
+
+def windows(survivors: DataFrame) -> DataFrame:
+    """``(place, w)``: the chunk-wide windows of each line outside which another line of the
+    same length, or one more or less, is the same.
+
+    A line of n characters goes by its own length and by that of a line without the
+    edit; either way what counts is all before the window and all behind it.
+    """
+    inside = f"if(from_start, sequence(c div {CHUNK}, n div {CHUNK}), sequence(0, (n - c) div {CHUNK}))"
+    behind = _first("back", f"greatest(0, m - (w + 1) * {CHUNK})")
+    each = _with_chunks(survivors).select("place", "n", "line_chain", "back_chain", "back_parts", F.explode(F.expr(inside)).alias("w"))
+    each = each.select("place", "w", "line_chain", "back_chain", "back_parts", F.explode(F.array("n", F.col("n") - 1)).alias("m")).withColumn("w", F.col("w").cast("int"))
+    key = ["w", "m", "before", "behind"]
+    each = each.select("place", "w", "m", F.expr("get(line_chain, w)").alias("before"), F.expr(behind).alias("behind")).distinct()
+    shared = each.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    return each.join(shared, key).select("place", "w").distinct()
+
+
+def variants(survivors: DataFrame, wins: DataFrame) -> DataFrame:
+    """``(key1, key2, place)`` for each place an edit can be at: the line without that
+    character, and the line as it is."""
+    lines = _with_chunks(survivors.select("place", "line").distinct())
+    each = lines.join(wins, "place").select("place", "n", "w", "line_chain", "line_parts", "back_chain", "back_parts", F.explode(F.expr(f"sequence(w * {CHUNK}, least(n, w * {CHUNK} + {CHUNK - 1}))")).alias("i"))
+    before, without, whole = _first("line", "i", "w"), _first("back", "n - 1 - i"), _first("back", "n - i")
+    each = each.select("place", "w", "i", F.expr(before).alias("before"), F.expr(f"array(if(i < n, {without}, null), {whole})").alias("behind"))
+    each = each.select("place", "w", "i", "before", F.explode("behind").alias("behind")).where("behind is not null")
+    return each.select(F.xxhash64("w", "i", "before", "behind").alias("key1"), F.hash("w", "i", "before", "behind").alias("key2"), "place")
 
 
 def near_partners(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -126,11 +144,10 @@ def near_partners(docs: DataFrame, lines: DataFrame) -> DataFrame:
     wanted = found.groupBy("place.id", "place.version").agg(F.collect_list(F.struct("k1", "k2", "place", "from_start", "c")).alias("wanted"))
     same = wanted.id.eqNullSafe(docs.id) & (wanted.version == docs.version)
     each = docs.join(wanted, same).select(_lines_of(F.col("text")).alias("lines"), F.explode("wanted").alias("w"))
-    survivors = each.select("w.*", F.expr("get(lines, w.place.no)").alias("line")).distinct()
-    survivors = materialize(survivors, "survivors")
-    keyed = variants(survivors)
-    groups = keyed.groupBy("key1", "key2").agg(F.min("place").alias("partner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = keyed.join(groups, ["key1", "key2"]).where("partner < place").groupBy("place").agg(F.min("partner").alias("partner"))
+    survivors = materialize(each.select("w.*", F.expr("get(lines, w.place.no)").alias("line")).distinct(), "survivors")
+    keyed = variants(survivors, windows(survivors))
+    partner = F.min("place").over(Window.partitionBy("key1", "key2"))
+    hits = keyed.select("place", partner.alias("partner")).where("partner < place").groupBy("place").agg(F.min("partner").alias("partner"))
     text = survivors.select("k1", "k2", "place", "line").distinct()
     own = hits.join(text, "place")
     other = text.select(F.col("place").alias("partner"), F.col("line").alias("partner_line"))
