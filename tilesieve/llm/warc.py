@@ -176,13 +176,21 @@ def _plain(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
         try:
             end, found = _parse(data, at)
             yield at, end, found
-            at = end
         except Damage as why:
-            # records of other writers may start after any line end
-            nxt = re.compile(rb"(?<=\n)WARC/1\.[01]\r\n").search(data, at + 1)
-            end = nxt.start() if nxt else len(data)
+            end = _next_record(data, at + 1)
             yield at, end, str(why)
-            at = end
+        at = end
+
+
+def _next_record(data: bytes, at: int) -> int:
+    """Where the next record that passes all checks begins, or the end."""
+    for line in re.compile(rb"WARC/1\.[01]\r\n").finditer(data, at):
+        try:
+            _parse(data, line.start())
+            return line.start()
+        except Damage:
+            pass
+    return len(data)
 
 
 def _inflate(data: bytes, at: int) -> tuple[int, bytes]:
