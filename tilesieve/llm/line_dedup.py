@@ -37,6 +37,7 @@ from tilesieve.plans.shared import materialize
 
 MIN_CHARS = 16
 CHUNK = 64
+VISIBLE = r"{} rlike '[^\\x20\\x09-\\x0D]'"
 
 
 def _lines_of(text: Column) -> Column:
@@ -56,7 +57,7 @@ def _half(n: Column) -> Column:
 def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """A row for each distinct line with a visible character: its digests, its earliest
     place, its length and the hashes of its beginnings and ends."""
-    lines = docs.select("id", "version", F.posexplode(_lines_of(F.col("text"))).alias("no", "line")).where(r"line rlike '\\S'")
+    lines = docs.select("id", "version", F.posexplode(_lines_of(F.col("text"))).alias("no", "line")).where(VISIBLE.format("line"))
     n = F.char_length("line")
     anchored = n >= max(4, min_chars)
     c1, c2 = _half(n - 2), _half(n - 1)
@@ -170,7 +171,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     full = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("version"), _lines_of(text).alias("lines"))
     kept = kept.select(F.col("id").alias("kept_id"), F.col("version").alias("kept_version"), "kept")
     both = full.join(kept, full.id.eqNullSafe(F.col("kept_id")) & (full.version == F.col("kept_version")), "left")
-    blank = F.expr(r"filter(sequence(0, size(lines) - 1), i -> not get(lines, i) rlike '\\S')")
+    blank = F.expr(f"filter(sequence(0, size(lines) - 1), i -> not {VISIBLE.format('get(lines, i)')})")
     stay = F.array_sort(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blank))
     out = both.withColumn("stay", stay)
     return out.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tilesieve.llm import bpe, exact_dedup, license_scan, line_dedup, packing, quality_fm, quality_rules, simhash, url_filter, warc
+from tilesieve.llm import bpe, exact_dedup, license_scan, line_dedup, packing, quality_fm, quality_rules, simhash, sql, url_filter, warc
 from tilesieve.llm.common import table
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -79,4 +79,11 @@ QUERIES = {
         op10_quality_classifier,
     )
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_line_dedup": sql.OP2,
+    "op3_url_filter": sql.op3(URL_RULES),
+    "op4_exact_dedup": sql.OP4,
+    "op5_quality_rules": sql.OP5,
+    "op6_license_scan": sql.OP6,
+    "op7_warc": sql.OP7,
+}
