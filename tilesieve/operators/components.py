@@ -9,15 +9,19 @@ on the driver but one row of checksums a round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tilesieve.plans.shared import discard, materialize
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled_form(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written down, with their number and a sum of their hashes, both observed
+    while writing, so no job of their own."""
+    seen = Observation()
+    hashes = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")
+    out = materialize(edges.observe(seen, F.count("*").alias("edges"), hashes), "edges")
+    return out, (seen.get["edges"], seen.get["hashes"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,14 +44,13 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     that occur in self loops only do not appear. Ids are LONG.
     """
     e = edges.select(F.greatest(left, right).cast("long").alias("u"), F.least(left, right).cast("long").alias("v"))
-    e = materialize(e.where(f"{left} is not null and {right} is not null and u != v").distinct(), "edges")
-    seen = _checksum(e)
+    e, seen = _settled_form(e.where(f"{left} is not null and {right} is not null and u != v").distinct())
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        after = materialize(_small_star(_large_star(e)), "edges")
+        after, now = _settled_form(_small_star(_large_star(e)))
         discard(e)
-        e, now = after, _checksum(after)
+        e = after
         if now == seen:
             break
         seen = now

@@ -62,23 +62,24 @@ def component_stats(calls: DataFrame) -> tuple[DataFrame, dict]:
 def sensitivity(tests: DataFrame, methods: dict[str, str], thresholds: tuple[float, ...] = THRESHOLDS) -> list[dict]:
     """Calls, components and removals by threshold and method (AGG-16, AGG-17).
 
-    ``methods`` maps a name to its q-value column. A threshold's calls include those
-    of smaller ones, so components are carried on: the links of the smaller
-    threshold's components stand for its calls.
+    All thresholds and methods are one graph: a read's node is its index and, above
+    the lowest 40 bits, the number of the threshold and method.
     """
-    by: dict[tuple, dict] = {}
-    for name, q in methods.items():
-        carried = None
-        low = -1.0
-        for threshold in thresholds:
-            new = significant(tests, q, threshold).where(F.col(q) > low).select("l", "r")
-            edges = new if carried is None else new.union(carried)
-            parts = materialize(connected_components(edges, "l", "r"), "nested")
-            row = parts.agg(F.count("*"), F.count_distinct("component")).first()
-            calls = significant(tests, q, threshold).count()
-            by[threshold, name] = {"significant_edges": calls, "components": row[1], "read_pairs_removed": row[0] - row[1]}
-            carried, low = parts.where("node != component").select(F.col("node").alias("l"), F.col("component").alias("r")), threshold
-    return [{"fdr": t, **{name: by[t, name] for name in methods}} for t in thresholds]
+    cases = [(t, name) for t in thresholds for name in methods]
+    hit = F.array(*(F.when(F.col(methods[name]) <= t, F.lit(i)) for i, (t, name) in enumerate(cases)))
+    calls = tests.where("l is not null and r is not null").select("l", "r", F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("case"))
+    calls = materialize(calls, "cases")
+    high = F.shiftleft(F.col("case").cast("bigint"), 40)
+    parts = connected_components(calls.select((F.col("l") + high).alias("l"), (F.col("r") + high).alias("r")), "l", "r")
+    sizes = parts.groupBy(F.shiftright("node", 40).alias("case")).agg(F.count("*").alias("nodes"), F.count_if(F.col("node") == F.col("component")).alias("components"))
+    found = {r.case: r for r in sizes.collect()}
+    edges = {r.case: r.n for r in calls.groupBy("case").agg(F.count("*").alias("n")).collect()}
+
+    def row(case: int) -> dict:
+        nodes, components = (found[case].nodes, found[case].components) if case in found else (0, 0)
+        return {"significant_edges": edges.get(case, 0), "components": components, "read_pairs_removed": nodes - components}
+
+    return [{"fdr": t, **{name: row(cases.index((t, name))) for name in methods}} for t in thresholds]
 
 
 def read_level_fdr(removed: DataFrame, tests: DataFrame, lfdr: str = "local_fdr") -> dict:

@@ -92,8 +92,7 @@ def build(a, counts: tuple[int, int], elapsed: float, command: list[str] | None
     extent = called.agg(F.max("nearest_distance").alias("far"), F.min("q").alias("low"), F.max("q").alias("high")).first()
     groups = group_summaries(a)
     total, testable = (sum(g[k] for g in groups) for k in ("total_random_pair_relations", "testable_random_pair_relations"))
-    _, filtering = decisions.component_stats(decisions.significant(a.units, "q", c.fdr))
-    sizes, _ = decisions.component_stats(decisions.significant(a.units, "q", c.fdr))
+    sizes, filtering = decisions.component_stats(decisions.significant(a.units, "q", c.fdr))
     filtering |= {
         "significant_candidate_edges": decisions.significant(a.units, "q", c.fdr).count(),
         "component_size_histogram": {str(r.size_): r.components for r in sizes.withColumnRenamed("size", "size_").orderBy("size_").collect()},
