@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilesieve.functions import names
+from tilesieve.functions.numbers import significant
 from tilesieve.operators import calibration, candidates, decisions, exact, geometry, multiplicity, quality, spatial
 from tilesieve.plans import adapters as A
 
@@ -443,6 +444,17 @@ def sensitivity_table(spark, sf_dir):
     return spark.createDataFrame([(r["fdr"], *r["q"].values()) for r in rows], "fdr double, significant_edges bigint, components bigint, read_pairs_removed bigint")
 
 
+@query(f"with recursive {_CALLS}{_COMPONENTS.format(t=0.002)}, k as (select component, count(*) as size from reach group by 1) select size, count(*) as components from k group by 1")
+def component_sizes(spark, sf_dir):
+    return decisions.component_stats(decisions.significant(_tests(spark, sf_dir)[0], "q", 0.002))[0]
+
+
+@query(f"with {_P} select id, printf('%.6g', p / 7) as six, printf('%.8g', p / 7000000) as eight from tests")
+def number_texts(spark, sf_dir):
+    p = A.p_values(spark, sf_dir)
+    return p.select("id", significant(F.col("p") / 7, 6).alias("six"), significant(F.col("p") / 7000000, 8).alias("eight"))
+
+
 # --- the exact-match mode -------------------------------------------------------
 
 _CROWD = f"{A.EXACT_READS}, crowd as (select * from reads where (signature, location) in (select (signature, location) from reads where location is not null group by signature, location having count(*) > 1))"
