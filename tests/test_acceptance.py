@@ -71,7 +71,7 @@ def test_same_tile_edges_miss_crossing_pairs(spark, mixed):
 
 def test_nothing_to_find(spark, tmp_path):
     simulate(str(tmp_path / "n"), Scenario(reads=3000, seed=101, optical_rate=0, polyg_rate=0, pcr_duplicate_rate=0.15))
-    report = filtered(spark, tmp_path / "n", tmp_path / "out", permutations=5)
+    report = filtered(spark, tmp_path / "n", tmp_path / "out")
     analysis = report["null_calibration"]["controls"]["analysis"]
     assert report["filtering"]["removed_read_pairs"] <= 2
     assert analysis["max_excess_over_uniform"] <= 0.06
