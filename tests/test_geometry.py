@@ -94,3 +94,18 @@ def test_nearest_partner_ties(spark):
     got = {r.read: (r.partner_count, r.partner, r.edge_id) for r in spatial.nearest_partner(edges).collect()}
     assert got[1] == (3, 2, 10)  # left ends first, then the edge
     assert got[3] == (2, 1, 30) and got[4] == (1, None, None)
+
+
+@pytest.mark.parametrize("metric", ["chebyshev", "euclidean"])
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize("n", [40, 4200])
+def test_pairs_within(metric, same, n):
+    random = np.random.default_rng(n)
+    b = random.integers(0, 400, (n, 2)).astype(float)
+    a = b if same else random.integers(0, 400, (30, 2)).astype(float)
+    radii = np.array([0.0, 1.0, 5.0, 50.0, 600.0])
+    d = np.abs(a[:, None] - b[None])
+    d = d.max(axis=2) if metric == "chebyshev" else np.hypot(d[..., 0], d[..., 1])
+    want = [(d <= r).sum() for r in radii]
+    want = [(w - n) // 2 for w in want] if same else want
+    assert spatial.pairs_within(*a.T, *b.T, radii, same, metric).tolist() == want

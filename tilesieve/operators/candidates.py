@@ -83,9 +83,14 @@ def keep_buckets(buckets: DataFrame, max_bucket: int, min_entropy: float) -> Dat
 
 
 def _pairs(members: DataFrame, key: list[str]) -> DataFrame:
-    a = members.select(*key, F.col("pair_index").alias("l"))
-    b = members.select(*key, F.col("pair_index").alias("r"))
-    return a.join(b, key).where("l < r").select("l", "r")
+    """All ``(l, r)``, l < r, of the members of each key.
+
+    The keys were filtered by their sizes, so the lists are short; they are made where
+    the filter's join has put the rows, without another shuffle or a self join.
+    """
+    groups = members.groupBy(*key).agg(F.sort_array(F.collect_list("pair_index")).alias("ids"))
+    heads = groups.select("ids", F.posexplode("ids").alias("i", "l"))
+    return heads.select("l", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("r"))
 
 
 def candidate_pairs(reads: DataFrame, seed_length: int, r1_length: int, r2_length: int, max_bucket: int = 500, max_family: int = 5000, max_candidates: int = 5_000_000, min_entropy: float = 0.0) -> tuple[DataFrame, dict]:

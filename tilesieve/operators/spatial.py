@@ -13,11 +13,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilesieve.operators.geometry import Frame, tile_counts, tile_pairs
+from tilesieve.plans.ordered import Ordered
 
 
 def both_directions(edges: DataFrame, extra: list[str]) -> DataFrame:
@@ -179,22 +180,39 @@ def nearest_partner_p(neighbours: str, partners: str, population: str) -> Column
     return F.when(feasible, F.least(F.lit(1.0), F.greatest(F.lit(0.0), -F.expm1(F.least(none, F.lit(0.0)))))).otherwise(F.lit(1.0))
 
 
-def shuffled_positions(positions: DataFrame, replicates: int, seed: int, keep: list[str]) -> DataFrame:
+def shuffled_positions(positions: DataFrame, replicates: int, seed: int, keep: list[str], wanted: DataFrame | None = None) -> DataFrame:
     """``(replicate, pair_index, <keep>)``: within each lane and surface every read gets
     another's position, with the tile that goes with it (ST-4, ST-5).
 
-    A read's rank by index is matched with a position's rank by a hash of index,
-    replicate and seed, which is a bijection in each group and replicate.
+    Reads in the order of lane, surface and index meet positions in the order of lane,
+    surface and a hash of index, replicate and seed: equal ranks are in equal groups,
+    and each replicate is a bijection. Ranks are taken over ranges, so that no lane has
+    to fit a task. ``wanted`` (``pair_index``) keeps only some reads.
     """
-    group = ["lane", "surface"]
-    each = positions.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), "pair_index", *group, *(c for c in keep if c not in group))
-    by_index = Window.partitionBy("replicate", *group).orderBy("pair_index")
-    by_hash = Window.partitionBy("replicate", *group).orderBy(F.xxhash64("pair_index", "replicate", F.lit(seed)), "pair_index")
-    reads = each.select("replicate", *group, "pair_index", F.row_number().over(by_index).alias("place"))
-    places = each.select("replicate", *group, *(c for c in keep if c not in group), F.row_number().over(by_hash).alias("place"))
-    same = [F.col("a.replicate") == F.col("b.replicate"), F.col("a.lane").eqNullSafe(F.col("b.lane")), F.col("a.surface") == F.col("b.surface"), F.col("a.place") == F.col("b.place")]
-    cond = same[0] & same[1] & same[2] & same[3]
-    return reads.alias("a").join(places.alias("b"), cond).select("a.replicate", "a.pair_index", "a.lane", "a.surface", *(f"b.{c}" for c in keep if c not in group))
+    n = positions.count()
+    reads = Ordered(positions.select("lane", "surface", "pair_index"), "lane", "surface", "pair_index").rank("place").result()
+    if wanted is not None:
+        reads = reads.join(wanted, "pair_index", "left_semi")
+    columns = ["lane", "surface", *(c for c in keep if c not in ("lane", "surface"))]
+    each = positions.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), F.col("pair_index").alias("from_"), *columns)
+    each = each.withColumn("key_", F.xxhash64("from_", "replicate", F.lit(seed)))
+    places = Ordered(each, "replicate", "lane", "surface", "key_", "from_").rank("rank_").result()
+    places = places.withColumn("place", ((F.col("rank_") - 1) % n + 1).cast("bigint"))
+    return reads.select("pair_index", F.col("place").cast("bigint").alias("place")).join(places, "place").select("replicate", "pair_index", *columns)
+
+
+def pairs_within(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, radii: np.ndarray, same: bool, metric: str) -> np.ndarray:
+    """Pairs of a point of each set (or, ``same``, of one set) within each radius."""
+    if metric == "chebyshev" and len(bx) > 4096:
+        index = RankIndex(bx, by)
+        total = np.array([index.counts(ax, ay, np.full(len(ax), r)).sum() for r in radii], np.int64)
+        return (total - len(ax)) // 2 if same else total
+    found = np.zeros(len(radii) + 1, np.int64)
+    for i in range(len(ax)):
+        dx, dy = (np.abs(v[i + 1 if same else 0 :] - w) for v, w in ((bx, ax[i]), (by, ay[i])))
+        d = np.hypot(dx, dy) if metric == "euclidean" else np.maximum(dx, dy)
+        found += np.bincount(np.searchsorted(radii, d, side="left"), minlength=len(found))
+    return np.cumsum(found[:-1])
 
 
 def pair_distance_counts(positions: DataFrame, radii: DataFrame, neighborhood: str, max_grid_step: int, metric: str) -> DataFrame:
@@ -210,29 +228,17 @@ def pair_distance_counts(positions: DataFrame, radii: DataFrame, neighborhood: s
     jobs = own.union(cross)
     grids = radii.groupBy("lane", "surface").agg(F.array_sort(F.collect_list("radius")).alias("radii"))
     jobs = jobs.join(F.broadcast(grids), jobs.lane.eqNullSafe(grids.lane) & (jobs.surface == grids.surface)).select(jobs.lane, jobs.surface, "a_tile", "b_tile", "radii")
-    points = positions.groupBy("lane", "surface", "tile").agg(F.collect_list(F.struct("gx", "gy")).alias("points"))
+    points = positions.groupBy("lane", "surface", "tile").agg(F.collect_list("gx").alias("px"), F.collect_list("gy").alias("py"))
     for end in "ab":
-        side = points.select(F.col("lane").alias("lane_"), F.col("surface").alias("surface_"), F.col("tile").alias(f"{end}_tile"), F.col("points").alias(f"{end}_points"))
-        jobs = jobs.join(side, (F.col("lane").eqNullSafe(F.col("lane_"))) & (F.col("surface") == F.col("surface_")) & (jobs[f"{end}_tile"] == side[f"{end}_tile"])).drop("lane_", "surface_", side[f"{end}_tile"])
-    euclid = metric == "euclidean"
+        side = points.select(F.col("lane").alias("lane_"), F.col("surface").alias("surface_"), F.col("tile").alias("tile_"), F.col("px").alias(f"{end}_x"), F.col("py").alias(f"{end}_y"))
+        jobs = jobs.join(side, F.col("lane").eqNullSafe(F.col("lane_")) & (F.col("surface") == F.col("surface_")) & (F.col(f"{end}_tile") == F.col("tile_"))).drop("lane_", "surface_", "tile_")
 
     @F.pandas_udf("array<bigint>")
-    def counted(same: pd.Series, a: pd.Series, b: pd.Series, grid: pd.Series) -> pd.Series:
-        out = []
-        for one, pa_, pb_, radii_ in zip(same, a, b, grid):
-            ax, ay = np.array([p["gx"] for p in pa_], float), np.array([p["gy"] for p in pa_], float)
-            bx, by = np.array([p["gx"] for p in pb_], float), np.array([p["gy"] for p in pb_], float)
-            radii_ = np.asarray(radii_, float)
-            found = np.zeros(len(radii_) + 1, np.int64)
-            for i in range(len(ax)):
-                from_ = i + 1 if one else 0
-                dx, dy = np.abs(bx[from_:] - ax[i]), np.abs(by[from_:] - ay[i])
-                d = np.hypot(dx, dy) if euclid else np.maximum(dx, dy)
-                found += np.bincount(np.searchsorted(radii_, d, side="left"), minlength=len(found))
-            out.append(np.cumsum(found[:-1]))
-        return pd.Series(out)
-
-    each = jobs.select("lane", "surface", "radii", counted(F.col("a_tile") == F.col("b_tile"), "a_points", "b_points", "radii").alias("counts"))
+    def counted(same: pd.Series, ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, grid: pd.Series) -> pd.Series:
+        points = zip(ax, ay, bx, by)
+        return pd.Series([pairs_within(*(np.asarray(v, float) for v in p), np.asarray(g, float), bool(s), metric) for s, p, g in zip(same, points, grid)])
+
+    each = jobs.select("lane", "surface", "radii", counted(F.col("a_tile") == F.col("b_tile"), "a_x", "a_y", "b_x", "b_y", "radii").alias("counts"))
     each = each.select("lane", "surface", F.explode(F.arrays_zip("radii", "counts")).alias("x"))
     return each.groupBy("lane", "surface", F.col("x.radii").alias("radius")).agg(F.sum("x.counts").alias("pairs"))
 

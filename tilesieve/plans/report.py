@@ -211,17 +211,20 @@ def qq_panels(a) -> dict[str, DataFrame]:
     hits = a.units.agg(*(F.count_if(F.col("p") <= x) for x in alphas)).first()
     out["tail"] = spark.createDataFrame([(x, h / max(1, n) / x) for x, h in zip(alphas, hits)], "alpha double, ratio double")
     out["histogram"] = calibration.histogram(a.units)
-    out["local_fdr"] = a.units.where("nearest_distance is not null").select("nearest_distance", "local_fdr")
+    out["local_fdr"] = _thinned(a.units.where("nearest_distance is not null")).select("nearest_distance", "local_fdr")
     return out
 
 
+def _thinned(points: DataFrame, most: int = 100_000) -> DataFrame:
+    """About ``most`` points of a plot, chosen by their ids' hashes."""
+    return points.where(F.pmod(F.xxhash64("id"), F.lit(max(1, points.count() // most))) == 0)
+
+
 def diagnostic_panels(a) -> dict[str, DataFrame]:
     """Data of the diagnostic figure: distances against the null, q by distance, mismatches, counts (PL-2)."""
     spark = a.reads.sparkSession
-    n = a.units.where("nearest_distance is not null").count()
-    step = max(1, n // 100_000)
     out = {
-        "q_by_distance": a.units.where("nearest_distance is not null").where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("nearest_distance", (-F.log10(F.greatest("q", F.lit(1e-300)))).alias("minus_log10_q")),
+        "q_by_distance": _thinned(a.units.where("nearest_distance is not null")).select("nearest_distance", (-F.log10(F.greatest("q", F.lit(1e-300)))).alias("minus_log10_q")),
         "mismatches": calibration.mismatch_bars(a.tested),
         "counts": spark.createDataFrame([("reads", a.meta["read_count"]), ("tested", a.units.count()), ("removed", a.removed.count())], "what string, n bigint"),
     }
@@ -234,7 +237,7 @@ def diagnostic_panels(a) -> dict[str, DataFrame]:
 
 def write_plot(spark: SparkSession, path: str, panels: dict[str, DataFrame]) -> None:
     """A figure where matplotlib is there, else the panels' data as JSON beside the path's name."""
-    data = {k: [r.asDict() for r in v.limit(200_000).collect()] for k, v in panels.items()}
+    data = {k: [r.asDict() for r in v.collect()] for k, v in panels.items()}
     try:
         import matplotlib
     except ImportError:

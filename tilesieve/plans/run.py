@@ -141,10 +141,9 @@ def analyse(spark: SparkSession, reads: DataFrame, meta: dict, config: Config) -
     units = materialize(test(tested, positions), "hypotheses")
 
     # the control and all replicates in one pass: the replicate is a grouping key
-    shuffled = spatial.shuffled_positions(positions, config.permutations + 1, config.null_check_seed, PLACE)
-    shuffled = shuffled.withColumn("replicate", F.col("replicate") - 1)
     ends = tested.select(F.col("l").alias("pair_index")).union(tested.select(F.col("r").alias("pair_index"))).distinct()
-    shuffled = materialize(shuffled.join(ends, "pair_index", "left_semi"), "shuffled")
+    shuffled = spatial.shuffled_positions(positions, config.permutations + 1, config.null_check_seed, PLACE, ends)
+    shuffled = materialize(shuffled.withColumn("replicate", F.col("replicate") - 1), "shuffled")
     pairs = tested.select("l", "r", "edge_id").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(config.permutations))))
     permuted = materialize(test(_measure(pairs, shuffled, config, ["replicate"]), shuffled, ["replicate"]).select("replicate", "id", "p", "nearest_distance"), "permuted")
 
