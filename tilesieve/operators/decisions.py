@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilesieve.operators.components import connected_components
 from tilesieve.plans.shared import materialize
 
+#: The targets of the sensitivity table.
 THRESHOLDS = (0.001, 0.005, 0.01, 0.05, 0.1)
 
 

@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The names of the tile numberings in reports.
 SURFACE_SWATH_TILE = "illumina_surface_swath_tile"
 SURFACE_SWATH_CAMERA_TILE = "illumina_surface_swath_camera_tile"
 SINGLE_COLUMN = "unrecognised_single_column"

@@ -1,4 +1,7 @@
-"""Tab-separated audits of pairs, removed reads and tested reads (SNK-4 to SNK-6)."""
+"""Tab-separated audits of pairs, removed reads and tested reads (SNK-4 to SNK-6).
+
+Their column names and order are fixed values of the formats.
+"""
 
 from __future__ import annotations
 

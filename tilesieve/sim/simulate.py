@@ -17,6 +17,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 
+#: The size of a tile, the lane key of simulated names and the mechanisms of the truth table.
 WIDTH, HEIGHT = 30_000, 24_000
 LANE = "SIMFC:1:HXXXXDRXX:1"
 MECHANISMS = ("unique", "pcr", "optical", "polyg")
