@@ -64,12 +64,12 @@ def exact_families(reads: DataFrame) -> DataFrame:
 
 
 def seeds(reads: DataFrame, seed_length: int, r1_length: int, r2_length: int) -> DataFrame:
-    """``(pair_index, lane, mate, at, seed)``: the non-overlapping windows of each mate."""
+    """``(pair_index, lane, mate, at, seed)``: the non-overlapping windows of each mate; those a shorter read doesn't fill are left out."""
     windows = [(1, o, o) for o in seed_offsets(r1_length, seed_length)] + [(2, o, r1_length + o) for o in seed_offsets(r2_length, seed_length)]
     if not windows:
         return reads.select("pair_index", "lane", F.lit(1).alias("mate"), F.lit(0).alias("at"), F.lit("").alias("seed")).limit(0)
     each = F.array(*(F.struct(F.lit(m).alias("mate"), F.lit(o).alias("at"), F.substring("bases", start + 1, seed_length).alias("seed")) for m, o, start in windows))
-    return reads.where("lane is not null").select("pair_index", "lane", F.explode(each).alias("s")).select("pair_index", "lane", "s.*")
+    return reads.where("lane is not null").select("pair_index", "lane", F.explode(each).alias("s")).select("pair_index", "lane", "s.*").where(F.length("seed") == seed_length)
 
 
 def seed_buckets(index: DataFrame) -> DataFrame:

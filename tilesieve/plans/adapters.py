@@ -77,6 +77,23 @@ DOCUMENT_READS = f"""reads as (select doc_id as pair_index, lang as lane,
   from documents where length(text) >= 200)"""
 
 
+def whole_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of one letter and more as one sequence of all its letters, a lane a language."""
+    bases, quals = document_letters(F.col("text"), 1, 2**31 - 1)
+    d = table(spark, sf_dir, "documents").where("length(text) > 0")
+    return d.select(F.col("doc_id").alias("pair_index"), F.col("lang").alias("lane"), bases.alias("bases"), quals.alias("quals"))
+
+
+def text_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole texts as consecutive reads of ``CYCLES`` letters; a text's last read may be shorter.
+
+    ``pair_index`` is ``doc_id * 2**26 + position``: no string has 2**26 reads, and ids may have 37 bits.
+    """
+    parts = F.arrays_zip(*(F.regexp_extract_all(c, F.lit(f".{{1,{CYCLES}}}"), F.lit(0)).alias(c) for c in ("bases", "quals")))
+    reads = whole_letters(spark, sf_dir).select("pair_index", "lane", F.posexplode(parts).alias("at", "part"))
+    return reads.select((F.shiftleft("pair_index", 26) + F.col("at")).alias("pair_index"), "lane", F.col("part").getField("bases").alias("bases"), F.col("part").getField("quals").alias("quals"))
+
+
 def exact_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reads of the exact-match mode; one in fifty has no location."""
     d = table(spark, sf_dir, "documents")

@@ -162,7 +162,7 @@ def pair_scores(spark, sf_dir):
 
 @query()
 def mismatch_tail(spark, sf_dir):
-    return rounded(_scored(spark, sf_dir).select("l", "r", "mismatches", "compatibility_p"), "compatibility_p", digits=6)
+    return rounded(_whole_scored(spark, sf_dir).select("l", "r", "mismatches", "compatibility_p"), "compatibility_p", digits=6)
 
 
 @query(f"with {_CANDIDATES}, {_PRIORS}, {_CYCLES}, s as (select l, r, sum((valid and b1 <> b2)::int) as mismatches from terms group by 1, 2) select cast(least(6, mismatches) as int) as mismatches, count(*) as n from s group by 1")
@@ -170,6 +170,76 @@ def mismatch_bars(spark, sf_dir):
     return calibration.mismatch_bars(_scored(spark, sf_dir))
 
 
+# --- letters, candidates and quality model over whole texts -----------------------
+# The queries above whose SQL reads openings only keep their rows; these read every
+# letter of every text and are checked by the tests against plain Python.
+
+
+@query()
+def whole_pair_signature(spark, sf_dir):
+    r = A.whole_letters(spark, sf_dir)
+    return r.select(F.col("pair_index").alias("doc_id"), names.pair_signature(F.substring("bases", 1, A.R1), F.expr(f"substring(bases, {A.R1 + 1})")).alias("signature"))
+
+
+@query()
+def whole_quality_sums(spark, sf_dir):
+    r = A.whole_letters(spark, sf_dir)
+    return r.select("pair_index", names.phred_sum(F.col("quals")).alias("quality_sum"), names.clipped_phred_sum(F.col("quals")).alias("clipped_sum"))
+
+
+@query()
+def whole_sequence_families(spark, sf_dir):
+    return candidates.exact_families(A.whole_letters(spark, sf_dir))
+
+
+@query()
+def whole_seed_entropy(spark, sf_dir):
+    index = candidates.seeds(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1)
+    return index.select("pair_index", "mate", "at", "seed", F.round(names.seed_entropy(F.col("seed")), 9).alias("entropy"))
+
+
+@query()
+def whole_base_priors(spark, sf_dir):
+    return rounded(candidates.base_priors(A.text_reads(spark, sf_dir)), "pa", "pc", "pg", "pt")
+
+
+@query()
+def whole_cycle_errors(spark, sf_dir):
+    return rounded(candidates.mean_cycle_errors(A.text_reads(spark, sf_dir)), "error")
+
+
+@query()
+def whole_seed_bucket_stats(spark, sf_dir):
+    index = candidates.seeds(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1)
+    return candidates.bucket_stats(candidates.seed_buckets(index), _MAX_BUCKET, 0.0)
+
+
+def _whole_candidates(spark, sf_dir):
+    return candidates.candidate_pairs(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1, max_bucket=_MAX_BUCKET)[0]
+
+
+@query()
+def whole_seed_candidates(spark, sf_dir):
+    return _whole_candidates(spark, sf_dir)
+
+
+def _whole_scored(spark, sf_dir):
+    reads = A.text_reads(spark, sf_dir)
+    priors = [tuple(r)[1:] for r in candidates.base_priors(reads).orderBy("cycle").collect()]
+    filled = reads.withColumns({"bases": F.rpad("bases", len(priors), "N"), "quals": F.rpad("quals", len(priors), "!")})
+    return quality.score_pairs(quality.with_reads(_whole_candidates(spark, sf_dir), filled, ["bases", "quals"]), priors)
+
+
+@query()
+def whole_pair_scores(spark, sf_dir):
+    return rounded(_whole_scored(spark, sf_dir).drop("compatibility_p"), "expected_mismatches", "log10_bayes_factor", "mismatch_surprisal", digits=6)
+
+
+@query()
+def whole_mismatch_bars(spark, sf_dir):
+    return calibration.mismatch_bars(_whole_scored(spark, sf_dir))
+
+
 # --- geometry -------------------------------------------------------------------
 
 
