@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tilesieve.config import Config
 from tilesieve.functions import names
 from tilesieve.functions.numbers import significant
 from tilesieve.operators import calibration, candidates, decisions, exact, geometry, multiplicity, quality, spatial
@@ -174,6 +175,8 @@ def mismatch_bars(spark, sf_dir):
 # The queries above whose SQL reads openings only keep their rows; these read every
 # letter of every text and are checked by the tests against plain Python.
 
+WHOLE_MAX_BUCKET = Config.max_seed_bucket
+
 
 @query()
 def whole_pair_signature(spark, sf_dir):
@@ -211,11 +214,11 @@ def whole_cycle_errors(spark, sf_dir):
 @query()
 def whole_seed_bucket_stats(spark, sf_dir):
     index = candidates.seeds(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1)
-    return candidates.bucket_stats(candidates.seed_buckets(index), _MAX_BUCKET, 0.0)
+    return candidates.bucket_stats(candidates.seed_buckets(index), WHOLE_MAX_BUCKET, 0.0)
 
 
 def _whole_candidates(spark, sf_dir):
-    return candidates.candidate_pairs(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1, max_bucket=_MAX_BUCKET)[0]
+    return candidates.candidate_pairs(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1, max_bucket=WHOLE_MAX_BUCKET)[0]
 
 
 @query()
