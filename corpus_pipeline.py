@@ -33,8 +33,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates one stays."""
-    return simhash.dedup(docs)
+    """Of each class of near duplicates (five-word similarity of 0.8 and more) one stays."""
+    return simhash.dedup(docs, size=5, similarity=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilesieve.llm import similar
 from tilesieve.operators.components import connected_components
 from tilesieve.plans.shared import discard, materialize
 
@@ -193,9 +194,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, the one with the smallest id, with all its columns."""
-    rows = fingerprints(docs, id_col, text_col, carry=True)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, similarity: float | None = None) -> DataFrame:
+    """One row of each class, the one with the smallest id, with all its columns.
+
+    With a ``similarity`` texts link by that of their shingles (``similar``), not by their fingerprints.
+    """
+    if similarity is not None:
+        rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.struct("*").alias("row")).withColumn("row_id", F.monotonically_increasing_id())
+        rows = materialize(rows, "rows")
+        texts = rows.select("row_id", "id", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).alias("text"))
+        return rows.join(similar.kept(texts, size, similarity), "row_id", "left_semi").select("row.*")
+    rows = fingerprints(docs, id_col, text_col, size, carry=True)
     found = classes(rows.select("id", "fp", "row_id"))
     stay = found.where("row_id = first.row_id").select("row_id")
     return rows.join(stay, "row_id", "left_semi").select("row.*")
