@@ -25,6 +25,8 @@ ids are not held out; an empty table gives no rows; extra columns pass through
 from __future__ import annotations
 
 import math
+import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -45,6 +47,16 @@ STATS = 17  # the first features; hashed words come after them
 _word_table = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+_ascii_capitals = bytes(range(65, 91))
+_wide_capitals = re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isupper()) + "]+")
+
+
+def upper_case(text: str, data: bytes) -> int:
+    """How many characters of the whole text are upper-case; ``data`` is the text in UTF-8."""
+    n = len(data) - len(data.translate(None, _ascii_capitals))
+    return n if text.isascii() else n + sum(map(len, _wide_capitals.findall(text)))
+
+
 def structure(text: str, data: bytes, tokens: list[bytes], counts: Counter) -> list[float]:
     """Statistics of a text; shares are 0 for texts without words."""
     n = max(1, len(tokens))
@@ -54,7 +66,7 @@ def structure(text: str, data: bytes, tokens: list[bytes], counts: Counter) -> l
     def share(characters: bytes) -> float:
         return (len(data) - len(data.translate(None, characters))) / n
 
-    upper = sum(c.isupper() for c in text[:: max(1, len(text) // 2000)]) / max(1, len(text[:: max(1, len(text) // 2000)]))
+    upper = upper_case(text, data) / max(1, len(text))
     return [
         min(3.0, share(b"#*$%&<>@^~")),
         min(3.0, share(b"|")),
