@@ -13,9 +13,9 @@ committed as any Spark output, so a lost executor leaves no half file.
 
 Reading. Each file, plain or gzip, is parsed record by record. A record whose
 head, length, end mark, member check, block digest or payload digest is wrong is
-not trusted: the reader searches for the next version line (in gzip: the next
-member that inflates to one), recovers what follows, and logs the bytes between
-as a quarantined gap with its reason.
+not trusted: the reader searches all that follows for a version line that parses
+or a gzip member that inflates to one, whichever comes first, recovers what
+follows, and logs the bytes between as a quarantined gap with its reason.
 
 Edge cases: null html is an empty payload; null urls are written as urn:page
 uris; blanks and control characters in urls are percent-encoded; repeated rows
@@ -170,29 +170,6 @@ def _parse(data: bytes, at: int) -> tuple[int, dict]:
     return end + 4, out
 
 
-def _plain(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
-    at = 0
-    while at < len(data):
-        try:
-            end, found = _parse(data, at)
-            yield at, end, found
-        except Damage as why:
-            end = _next_record(data, at + 1)
-            yield at, end, str(why)
-        at = end
-
-
-def _next_record(data: bytes, at: int) -> int:
-    """Where the next record that passes all checks begins, or the end."""
-    for line in re.compile(rb"WARC/1\.[01]\r\n").finditer(data, at):
-        try:
-            _parse(data, line.start())
-            return line.start()
-        except Damage:
-            pass
-    return len(data)
-
-
 def _inflate(data: bytes, at: int) -> tuple[int, bytes]:
     """The gzip member at ``at``: its end and contents."""
     stream, out, view, p = zlib.decompressobj(31), [], memoryview(data), at
@@ -207,33 +184,45 @@ def _inflate(data: bytes, at: int) -> tuple[int, bytes]:
     return min(p, len(data)) - len(stream.unused_data), b"".join(out)
 
 
-def _members(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
+_starts = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+
+
+def _next(data: bytes, at: int, inside: bool) -> int:
+    """Where the next good record, or gzip member that is empty or inflates to records, begins, or the end."""
+    for found in _starts.finditer(data, at):
+        try:
+            if found[0] != MAGIC:
+                _parse(data, found.start())
+                return found.start()
+            if inside:
+                continue
+            inner = _inflate(data, found.start())[1]
+            if not inner or inner.startswith(b"WARC/"):
+                return found.start()
+        except Damage:
+            pass
+    return len(data)
+
+
+def salvage(data: bytes, inside: bool = False) -> Iterator[tuple[int, int, dict | str]]:
+    """(start, end, record) and, for quarantined gaps, (start, end, reason), in order.
+
+    Nothing is taken from how a file begins: each place is a record or a member by itself; ``inside`` a member there are records only.
+    """
     at = 0
     while at < len(data):
         try:
-            end, inner = _inflate(data, at) if data.startswith(MAGIC, at) else (at, b"")
-            if end == at:
-                raise Damage("no gzip member")
-            for _, _, found in _plain(inner):
+            if not inside and data.startswith(MAGIC, at):
+                end, inner = _inflate(data, at)
+                for _, _, found in salvage(inner, True):
+                    yield at, end, found
+            else:
+                end, found = _parse(data, at)
                 yield at, end, found
-            at = end
         except Damage as why:
-            nxt = data.find(MAGIC, at + 1)
-            while nxt >= 0:
-                try:
-                    if not (inner := _inflate(data, nxt)[1]) or inner.startswith(b"WARC/"):
-                        break
-                except Damage:
-                    pass
-                nxt = data.find(MAGIC, nxt + 1)
-            end = nxt if nxt >= 0 else len(data)
+            end = _next(data, at + 1, inside)
             yield at, end, str(why)
-            at = end
-
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
-    """(start, end, record) and, for quarantined gaps, (start, end, reason), in order."""
-    return _members(data) if MAGIC in data[:4096] and b"WARC/1" not in data[:16] else _plain(data)
+        at = end
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
