@@ -54,8 +54,8 @@ def clipped_phred_sum(quals: Column) -> Column:
 
 
 def base_letters(seq: Column) -> Column:
-    """Upper-case ACGT; every other symbol is N."""
-    return F.regexp_replace(F.upper(seq), "[^ACGT]", "N")
+    """Upper-case ACGT; every other symbol is N, one for one."""
+    return F.regexp_replace(F.translate(seq, "acgt", "ACGT"), "[^ACGT]", "N")
 
 
 def seed_offsets(read_length: int, seed_length: int) -> list[int]:

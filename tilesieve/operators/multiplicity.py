@@ -149,6 +149,17 @@ def local_fdr_q(tests: DataFrame, lfdr: str = "local_fdr", id_col: str = "id", n
     return order.result().withColumn(name, q).drop("rank_", "sum_")
 
 
+def without_evidence(tests: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns are 1 where the p-value is, or where no partner was met (FLT-7)."""
+    silent = (F.col("p") >= 1) | F.col("l").isNull() | F.col("r").isNull()
+    return tests.withColumns({c: F.when(silent, F.lit(1.0)).otherwise(F.col(c)) for c in columns})
+
+
+def by_sequence_alone() -> F.Column:
+    """The q-value without a spatial test: every read with a partner is called (ST-12)."""
+    return F.when(F.col("r").isNull(), F.lit(1.0)).otherwise(F.lit(0.0))
+
+
 def choose_method(method: str, pi0: float, threshold: float, replicates: int) -> tuple[str, str | None]:
     """``auto`` takes the mixture where most hypotheses are not null, else the permutation
     estimate, or BY without replicates (ST-3)."""

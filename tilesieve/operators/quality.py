@@ -112,6 +112,17 @@ def with_reads(edges: DataFrame, reads: DataFrame, columns: list[str]) -> DataFr
     return edges
 
 
+def eligibility(min_p: float, min_log10: float) -> tuple[str, str]:
+    """The rules of the pairs that are tested (FLT-6) and of the sequence-incompatible control,
+    which no option moves (FLT-9)."""
+    return f"compatibility_p >= {min_p!r} and log10_bayes_factor > {min_log10!r}", "log10_bayes_factor <= 0"
+
+
+def medians(pairs: DataFrame, *columns: str) -> DataFrame:
+    """One row: the number of pairs and the medians of some scores (AGG-20)."""
+    return pairs.agg(F.count("*").alias("n"), *(F.percentile(c, 0.5).alias(c) for c in columns))
+
+
 def same_template_prior(scored: DataFrame, compatible: str, relations: int, rounds: int = 500) -> tuple[float, float, int]:
     """Share of relations that are of one template, by expectation maximisation (AGG-9).
 

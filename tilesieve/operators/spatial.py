@@ -248,6 +248,15 @@ def null_cdf(counts: DataFrame, groups: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(groups.select(F.col("lane").alias("l_"), F.col("surface").alias("s_"), "relations")), F.col("lane").eqNullSafe(F.col("l_")) & (F.col("surface") == F.col("s_"))).select("lane", "surface", "radius", ((F.col("pairs") + 1) / (F.col("relations") + 1)).alias("cdf"))
 
 
+def group_enrichment(groups: DataFrame, tested: DataFrame) -> DataFrame:
+    """``groups`` with the tested pairs and how many more of them are testable than by chance (AGG-18)."""
+    seen = tested.groupBy(F.col("lane").alias("l_"), F.col("surface").alias("s_")).agg(F.count("*").alias("tested"), F.count_if("testable").alias("tested_testable"))
+    both = groups.join(F.broadcast(seen), F.col("lane").eqNullSafe(F.col("l_")) & (F.col("surface") == F.col("s_")), "left").drop("l_", "s_").na.fill(0, ["tested", "tested_testable"])
+    share = F.when(F.col("relations") > 0, F.col("testable_relations") / F.col("relations")).otherwise(0.0)
+    both = both.withColumn("testable_share", share).withColumn("expected_testable", F.col("tested") * F.col("testable_share"))
+    return both.withColumn("enrichment", F.when(F.col("expected_testable") > 0, F.col("tested_testable") / F.col("expected_testable")))
+
+
 def spatial_p(edges: DataFrame, cdf: DataFrame) -> DataFrame:
     """``edges`` (lane, surface, distance) with ``spatial_p``: the null at the next radius of the
     grid, 1 without a distance (FN-20, ST-9). The grids are a few hundred values a group."""

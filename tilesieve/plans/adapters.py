@@ -56,30 +56,17 @@ EDGES = """edges as (select a.pair_index as l, b.pair_index as r, a.pair_index *
   from placed a join placed b on a.lane = b.lane and a.user_id = b.user_id and a.pair_index < b.pair_index)"""
 
 
-def document_letters(text: Column, start: int = 1, n: int = CYCLES) -> tuple[Column, Column]:
-    """Bases and qualities made from a text's letters."""
-    part = F.lower(F.substring(text, start, n))
+def document_letters(text: Column) -> tuple[Column, Column]:
+    """Bases and qualities made from all of a text's letters."""
+    part = F.lower(text)
     bases = F.regexp_replace(F.translate(part, LETTERS, BASES), "[^ACGT]", "N")
     quals = F.translate(F.regexp_replace(part, "[^a-z ]", "!"), LETTERS, QUALS)
     return bases, quals
 
 
-def document_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences: the letters of texts of 200 characters and more, a lane a language."""
-    d = table(spark, sf_dir, "documents").where("length(text) >= 200")
-    bases, quals = document_letters(F.col("text"))
-    return d.select(F.col("doc_id").alias("pair_index"), F.col("lang").alias("lane"), bases.alias("bases"), quals.alias("quals"))
-
-
-DOCUMENT_READS = f"""reads as (select doc_id as pair_index, lang as lane,
-  regexp_replace(translate(lower(substr(text, 1, {CYCLES})), '{LETTERS}', '{BASES}'), '[^ACGT]', 'N', 'g') as bases,
-  translate(regexp_replace(lower(substr(text, 1, {CYCLES})), '[^a-z ]', '!', 'g'), '{LETTERS}', '{QUALS}') as quals
-  from documents where length(text) >= 200)"""
-
-
 def whole_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of one letter and more as one sequence of all its letters, a lane a language."""
-    bases, quals = document_letters(F.col("text"), 1, 2**31 - 1)
+    bases, quals = document_letters(F.col("text"))
     d = table(spark, sf_dir, "documents").where("length(text) > 0")
     return d.select(F.col("doc_id").alias("pair_index"), F.col("lang").alias("lane"), bases.alias("bases"), quals.alias("quals"))
 
@@ -94,6 +81,15 @@ def text_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.select((F.shiftleft("pair_index", 26) + F.col("at")).alias("pair_index"), "lane", F.col("part").getField("bases").alias("bases"), F.col("part").getField("quals").alias("quals"))
 
 
+LETTER_SQL = f"""letters as (select doc_id as pair_index, lang as lane,
+  regexp_replace(translate(lower(text), '{LETTERS}', '{BASES}'), '[^ACGT]', 'N', 'g') as bases,
+  translate(regexp_replace(lower(text), '[^a-z ]', '!', 'g'), '{LETTERS}', '{QUALS}') as quals
+  from documents where length(text) > 0)"""
+
+READ_SQL = f"""{LETTER_SQL}, reads as (select pair_index * {2**26} + nth as pair_index, lane, substr(bases, cast(nth * {CYCLES} + 1 as bigint), {CYCLES}) as bases,
+  substr(quals, cast(nth * {CYCLES} + 1 as bigint), {CYCLES}) as quals from (select *, unnest(range(0, (length(bases) + {CYCLES - 1}) // {CYCLES})) as nth from letters))"""
+
+
 def exact_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reads of the exact-match mode; one in fifty has no location."""
     d = table(spark, sf_dir, "documents")
@@ -139,3 +135,48 @@ def permuted_p_values(spark: SparkSession, sf_dir: str, replicates: int) -> Data
 def permuted_sql(replicates: int) -> str:
     return f"""permuted as (select replicate, cast((event_id * 104729 + replicate * 613) % 1009 + 1 as double) / 1010.0::double as p
   from events, (select unnest(range(1, {replicates + 1})) as replicate))"""
+
+
+def permuted_distances(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
+    """Nearest distances of shuffled replicates."""
+    e = table(spark, sf_dir, "events").select("event_id", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    return e.select("replicate", ((F.col("event_id") * 613 + F.col("replicate") * 7919) % 30011).cast("double").alias("nearest_distance"))
+
+
+def permuted_distances_sql(replicates: int) -> str:
+    return f"""shuffled as (select replicate, cast((event_id * 613 + replicate * 7919) % 30011 as double) as nearest_distance
+  from events, (select unnest(range(1, {replicates + 1})) as replicate))"""
+
+
+def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consecutive reads of all texts as pairs of one length each, with names that say a place."""
+    r = text_reads(spark, sf_dir)
+    place = F.concat_ws(":", F.lit("run"), "lane", (F.lit(1101) + F.col("pair_index") % 4).cast("string"), (F.col("pair_index") % 30011).cast("string"), (F.col("pair_index") % 24007).cast("string"))
+    return r.select("pair_index", place.alias("name"), F.rpad("bases", CYCLES, "N").alias("bases"), F.rpad("quals", CYCLES, "!").alias("quals"))
+
+
+SEQUENCED = f"""{READ_SQL}, sequenced as (select row_number() over (order by pair_index) - 1 as pair_index, 'run:' || lane || ':' || cast(1101 + pair_index % 4 as varchar) || ':' || cast(pair_index % 30011 as varchar) || ':' || cast(pair_index % 24007 as varchar) as name,
+  'run:' || lane as lane, cast(1101 + pair_index % 4 as int) as tile, cast(pair_index % 30011 as int) as x, cast(pair_index % 24007 as int) as y, rpad(bases, {CYCLES}, 'N') as bases, rpad(quals, {CYCLES}, '!') as quals from reads)"""
+
+
+def truth_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A truth table: a fifth of the reads are children of one of the three before them."""
+    e = table(spark, sf_dir, "events")
+    child = (F.col("event_id") % 10 < 2) & (F.col("event_id") > 2)
+    kind = F.when(child, "optical").when(F.col("event_id") % 10 == 5, "pcr").when(F.col("event_id") % 100 == 7, "polyg").otherwise("unique")
+    parent = F.when(child, F.concat(F.lit("r"), (F.col("event_id") - 1 - F.col("user_id") % 3).cast("string"))).otherwise("NA")
+    return e.select(
+        (F.col("event_id") + 1).alias("emitted_rank"),
+        F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("read_name"),
+        F.col("event_id").alias("molecule"),
+        kind.alias("mechanism"),
+        parent.alias("parent_read_name"),
+        (child & (F.col("user_id") % 4 == 0)).cast("int").alias("cross_tile"),
+        (F.floor(F.col("value") * 100) % 5 != 0).alias("stays"),
+    )
+
+
+TRUTH = """truth as (select event_id + 1 as emitted_rank, 'r' || cast(event_id as varchar) as read_name,
+  case when event_id % 10 < 2 and event_id > 2 then 'optical' when event_id % 10 = 5 then 'pcr' when event_id % 100 = 7 then 'polyg' else 'unique' end as mechanism,
+  case when event_id % 10 < 2 and event_id > 2 then 'r' || cast(event_id - 1 - user_id % 3 as varchar) else 'NA' end as parent_read_name,
+  cast(event_id % 10 < 2 and event_id > 2 and user_id % 4 = 0 as int) as cross_tile, cast(floor(value * 100) % 5 <> 0 as boolean) as stays from events)"""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilesieve.functions.numbers import duration, with_commas
-from tilesieve.operators import calibration, decisions, geometry, multiplicity
+from tilesieve.operators import calibration, decisions, geometry, multiplicity, spatial
 from tilesieve.sources import sink
 from tilesieve.sources.fastq import uri
 
@@ -51,13 +51,10 @@ def _size(spark: SparkSession, path: str) -> int:
 def group_summaries(a) -> list[dict]:
     """A group's reads, relations and tested pairs (AGG-18)."""
     tiles = geometry.tile_counts(a.positions).select("lane", "surface", "tile", "n").collect()
-    tested = {(r.lane, r.surface): r for r in a.tested.groupBy("lane", "surface").agg(F.count("*").alias("n"), F.count_if("testable").alias("t")).collect()}
     null = {} if a.cdf is None else {(r.lane, r.surface): r for r in a.cdf.groupBy("lane", "surface").agg(F.max("radius").alias("radius"), F.max_by("cdf", "radius").alias("cdf"), F.count("*").alias("n")).collect()}
     out = []
-    for i, g in enumerate(a.groups.orderBy("lane", "surface").collect()):
+    for i, g in enumerate(spatial.group_enrichment(a.groups, a.tested).orderBy("lane", "surface").collect()):
         key = g.lane, g.surface
-        share = g.testable_relations / g.relations if g.relations else 0.0
-        n, t = (tested[key].n, tested[key].t) if key in tested else (0, 0)
         own = {str(r.tile): r.n for r in sorted(tiles, key=lambda r: r.tile) if (r.lane, r.surface) == key}
         out.append(
             {
@@ -68,13 +65,13 @@ def group_summaries(a) -> list[dict]:
                 "tile_read_pair_counts": own,
                 "total_random_pair_relations": g.relations,
                 "testable_random_pair_relations": g.testable_relations,
-                "testable_random_pair_probability": share,
+                "testable_random_pair_probability": g.testable_share,
                 "same_tile_random_pair_probability": g.same_tile_relations / g.relations if g.relations else 0.0,
-                "tested_hypotheses": n,
-                "testable_tested_hypotheses": t,
-                "untestable_tested_hypotheses": n - t,
-                "expected_testable_hypotheses_if_all_null": n * share,
-                "testable_enrichment_fold": t / (n * share) if n * share else None,
+                "tested_hypotheses": g.tested,
+                "testable_tested_hypotheses": g.tested_testable,
+                "untestable_tested_hypotheses": g.tested - g.tested_testable,
+                "expected_testable_hypotheses_if_all_null": g.expected_testable,
+                "testable_enrichment_fold": g.enrichment,
                 "maximum_null_radius": null[key].radius if key in null else None,
                 "null_cdf_at_maximum_radius": null[key].cdf if key in null else None,
                 "null_radii_evaluated": null[key].n if key in null else 0,

@@ -94,9 +94,7 @@ def _q_values(units: DataFrame, permuted: DataFrame | None, config: Config) -> t
         weighed = multiplicity.weighted_bh_q(units, "spatial_p").select("id", "weight", "q_weighted_bh")
         out = out.join(weighed, "id")
         methods["weighted_bh"] = "q_weighted_bh"
-    silent = (F.col("p") >= 1) | F.col("l").isNull() | F.col("r").isNull()
-    fixed = {c: F.when(silent, F.lit(1.0)).otherwise(F.col(c)) for c in [*methods.values(), "local_fdr"]}
-    return materialize(out.withColumns(fixed), "units"), methods, mixture
+    return materialize(multiplicity.without_evidence(out, [*methods.values(), "local_fdr"]), "units"), methods, mixture
 
 
 def analyse(spark: SparkSession, reads: DataFrame, meta: dict, config: Config) -> Analysis:
@@ -116,7 +114,7 @@ def analyse(spark: SparkSession, reads: DataFrame, meta: dict, config: Config) -
     candidates.check_candidates(retrieval["retrieved_candidate_pair_relations"], config.max_candidates, retrieval)
 
     scored = materialize(quality.score_pairs(quality.with_reads(edges, reads, ["bases", "quals"]), priors), "scored")
-    rule = f"compatibility_p >= {config.sequence_min_p!r} and log10_bayes_factor > {config.min_log10_bayes_factor!r}"
+    rule, refusal = quality.eligibility(config.sequence_min_p, config.min_log10_bayes_factor)
     relations = candidates.lane_relations(reads)
     prior, used, rounds = quality.same_template_prior(scored, rule, relations)
 
@@ -148,7 +146,7 @@ def analyse(spark: SparkSession, reads: DataFrame, meta: dict, config: Config) -
     permuted = materialize(test(_measure(pairs, shuffled, config, ["replicate"]), shuffled, ["replicate"]).select("replicate", "id", "p", "nearest_distance"), "permuted")
 
     control_p = {"permutation": permuted.where(F.col("replicate") == CONTROL).select("id", "p")}
-    refused = scored.where("log10_bayes_factor <= 0").select("l", "r", F.monotonically_increasing_id().alias("edge_id"))
+    refused = scored.where(refusal).select("l", "r", F.monotonically_increasing_id().alias("edge_id"))
     refused = materialize(refused, "refused")
     if refused.limit(1).count():
         control_p["sequence_incompatible"] = materialize(test(_measure(refused, positions, config), positions).select("id", "p"), "incompatible")
@@ -164,7 +162,7 @@ def analyse(spark: SparkSession, reads: DataFrame, meta: dict, config: Config) -
     method, reason = multiplicity.choose_method(config.fdr_method, mixture.pi0, config.auto_pi0_threshold, config.permutations)
     selected = F.col(methods[method.replace("-", "_")])
     if not config.spatial_test:
-        selected = F.when(F.col("r").isNull(), F.lit(1.0)).otherwise(F.lit(0.0))
+        selected = multiplicity.by_sequence_alone()
     units = units.withColumn("q", selected)
     removed = materialize(decisions.decide(units, reads, "q", config.fdr), "removed")
     split = calibration.decomposition(units, permuted.where(F.col("replicate") != CONTROL), config.permutations, meta["read_count"])

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from tilesieve.config import Config
 from tilesieve.functions import names
-from tilesieve.functions.numbers import significant
+from tilesieve.functions.numbers import duration, significant, with_commas
 from tilesieve.operators import calibration, candidates, decisions, exact, geometry, multiplicity, quality, spatial
 from tilesieve.plans import adapters as A
+from tilesieve.plans.shared import fresh_path
+from tilesieve.sim import score
+from tilesieve.sources import fastq, sink
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -60,64 +63,120 @@ def parse_location(spark, sf_dir):
     return _headers(spark, sf_dir).select("event_id", *(c.alias(n) for n, c in names.location(name).items()))
 
 
-@query("select doc_id, sha256(unhex(printf('%08x', length(r1))) || encode(r1) || encode(r2)) as signature from (select pair_index as doc_id, substr(bases, 1, 36) as r1, substr(bases, 37) as r2 from r)".join([f"with {A.DOCUMENT_READS}, r as (select * from reads) ", ""]))
+@query(f"with {A.LETTER_SQL} select pair_index as doc_id, sha256(unhex(printf('%08x', length(substr(bases, 1, {A.R1})))) || encode(substr(bases, 1, {A.R1})) || encode(substr(bases, {A.R1 + 1}))) as signature from letters")
 def pair_signature(spark, sf_dir):
-    r = A.document_reads(spark, sf_dir)
+    r = A.whole_letters(spark, sf_dir)
     return r.select(F.col("pair_index").alias("doc_id"), names.pair_signature(F.substring("bases", 1, A.R1), F.expr(f"substring(bases, {A.R1 + 1})")).alias("signature"))
 
 
 @query(
-    f"with {A.DOCUMENT_READS}, c as (select pair_index, unnest(string_split(quals, '')) as c from reads)"
+    f"with {A.LETTER_SQL}, c as (select pair_index, unnest(string_split(quals, '')) as c from letters)"
     " select pair_index, cast(sum(ascii(c) - 33) as bigint) as quality_sum, cast(sum(least(greatest(ascii(c) - 33, 0), 60)) as bigint) as clipped_sum from c where c <> '' group by 1"
 )
 def quality_sums(spark, sf_dir):
-    r = A.document_reads(spark, sf_dir)
+    r = A.whole_letters(spark, sf_dir)
     return r.select("pair_index", names.phred_sum(F.col("quals")).alias("quality_sum"), names.clipped_phred_sum(F.col("quals")).alias("clipped_sum"))
 
 
-_COUNTS = ", ".join(f"sum((c = '{x}')::int) as n{x.lower()}" for x in "ACGTN")
-_ENTROPY = " + ".join(f"case when n{x} > 0 then -(n{x} / n) * log2(n{x} / n) else 0 end" for x in "acgtn")
+@query("select doc_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') as bases from documents")
+def base_letters(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", names.base_letters(F.col("text")).alias("bases"))
+
+
+@query("select event_id, case when event_id % 7 <> 0 then event_type || ':' || cast(1101 + user_id % 4 as varchar) end as location from events")
+def tile_location(spark, sf_dir):
+    return _headers(spark, sf_dir).select("event_id", names.tile_location(names.normalized_name(F.col("header"))).alias("location"))
 
 
 @query(
-    f"with {A.DOCUMENT_READS}, s as (select pair_index, substr(bases, 1, {A.SEED}) as seed from reads), c as (select pair_index, seed, unnest(string_split(seed, '')) as c from s),"
-    f" k as (select pair_index, seed, cast(count(*) as double) as n, {_COUNTS} from c where c <> '' group by 1, 2) select pair_index, seed, round({_ENTROPY}, 9) as entropy from k"
+    "select event_id, case when event_id < 1000 then printf('%d', event_id) when event_id < 1000000 then printf('%d,%03d', event_id // 1000, event_id % 1000) else printf('%d,%03d,%03d', event_id // 1000000, event_id // 1000 % 1000, event_id % 1000) end as commas,"
+    " case when event_id >= 3600 then printf('%dh%02dm%02ds', event_id // 3600, event_id // 60 % 60, event_id % 60) when event_id >= 60 then printf('%dm%02ds', event_id // 60, event_id % 60) else printf('%ds', event_id) end as took from events"
 )
-def seed_entropy(spark, sf_dir):
-    r = A.document_reads(spark, sf_dir).select("pair_index", F.substring("bases", 1, A.SEED).alias("seed"))
-    return r.select("pair_index", "seed", F.round(names.seed_entropy(F.col("seed")), 9).alias("entropy"))
+def number_forms(spark, sf_dir):
+    """Whole numbers with separators and as durations, by the functions that reports use."""
+    commas, took = (F.udf(f, "string") for f in (with_commas, duration))
+    return A.table(spark, sf_dir, "events").select("event_id", commas("event_id").alias("commas"), took("event_id").alias("took"))
 
 
+_COUNTS = ", ".join(f"sum((c = '{x}')::int) as n{x.lower()}" for x in "ACGTN")
+_ENTROPY = " + ".join(f"case when n{x} > 0 then -(n{x} / n) * log2(n{x} / n) else 0 end" for x in "acgtn")
+
 # --- candidates -----------------------------------------------------------------
 
 _WINDOWS = [(1, o, o) for o in names.seed_offsets(A.R1, A.SEED)] + [(2, o, A.R1 + o) for o in names.seed_offsets(A.CYCLES - A.R1, A.SEED)]
-_SEEDS = f"{A.DOCUMENT_READS}, seeds as (" + " union all ".join(f"select pair_index, lane, {m} as mate, {o} as place, substr(bases, {s + 1}, {A.SEED}) as seed from reads" for m, o, s in _WINDOWS) + "), buckets as (select lane, mate, place, seed, count(*) as size from seeds group by 1, 2, 3, 4 having count(*) > 1)"
-_MAX_BUCKET = 20
+_SEEDS = f"{A.READ_SQL}, seeds as (select * from (" + " union all ".join(f"select pair_index, lane, {m} as mate, {o} as place, substr(bases, {s + 1}, {A.SEED}) as seed from reads" for m, o, s in _WINDOWS) + f") where length(seed) = {A.SEED}), buckets as (select lane, mate, place, seed, count(*) as size from seeds group by 1, 2, 3, 4 having count(*) > 1)"
+_MAX_BUCKET = Config.max_seed_bucket
+_LOW = 1.2  # bits a base
 
 
-@query(f"with {A.DOCUMENT_READS} select lane, bases, count(*) as size from reads group by 1, 2 having count(*) > 1")
+@query(f'''with {_SEEDS}, c as (select pair_index, mate, place, seed, unnest(string_split(seed, '')) as c from seeds), k as (select pair_index, mate, place, seed, cast(count(*) as double) as n, {_COUNTS} from c where c <> '' group by 1, 2, 3, 4) select pair_index, mate, place as "at", seed, round({_ENTROPY}, 9) as entropy from k''')
+def seed_entropy(spark, sf_dir):
+    index = candidates.seeds(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1)
+    return index.select("pair_index", "mate", "at", "seed", F.round(names.seed_entropy(F.col("seed")), 9).alias("entropy"))
+
+
+@query(f"with {A.LETTER_SQL} select lane, bases, count(*) as size from letters group by 1, 2 having count(*) > 1")
 def exact_sequence_families(spark, sf_dir):
-    return candidates.exact_families(A.document_reads(spark, sf_dir))
+    return candidates.exact_families(A.whole_letters(spark, sf_dir))
 
 
-@query(
-    f"with {_SEEDS} select cast(count_if(size > {_MAX_BUCKET}) as bigint) as skipped_high_frequency_seed_buckets, coalesce(max(case when size > {_MAX_BUCKET} then size end), 0) as largest_skipped_seed_bucket,"
-    f" cast(0 as bigint) as skipped_low_complexity_seed_buckets, coalesce(max(case when size <= {_MAX_BUCKET} then size end), 0) as largest_retained_seed_bucket,"
-    f" cast(coalesce(sum(case when size > {_MAX_BUCKET} then size end), 0) as bigint) as members_in_skipped_seed_buckets_with_multiplicity from buckets"
-)
+def _header_reads(spark, sf_dir):
+    """Reads named by the headers, of which one in seven has no place."""
+    at = names.location(names.normalized_name(F.col("header")))
+    events = A.table(spark, sf_dir, "events").select("event_id", names.base_letters(F.col("event_type")).alias("bases"))
+    return _headers(spark, sf_dir).join(events, "event_id").select(F.col("event_id").alias("pair_index"), at["lane"].alias("lane"), "bases")
+
+
+@query("with r as (select case when event_id % 7 <> 0 then event_type end as lane, regexp_replace(translate(event_type, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') as bases from events) select lane, bases, count(*) as size from r where lane is not null group by 1, 2 having count(*) > 1")
+def placed_families(spark, sf_dir):
+    """Reads without a lane are in no family."""
+    return candidates.exact_families(_header_reads(spark, sf_dir))
+
+
+@query("select 'an exact-sequence family contains ' || format('{:,}', max(n)) || ' pairs, above the limit of 100; adapter or low-complexity artifacts are a usual cause' as message from (select count(*) as n from events where event_id % 7 <> 0 group by event_type)")
+def family_limit(spark, sf_dir):
+    """What an exact family above its limit is refused with."""
+    return _refusal(spark, lambda: candidates.candidate_pairs(_header_reads(spark, sf_dir), A.SEED, A.SEED, 0, max_family=100))
+
+
+def _refusal(spark, run):
+    try:
+        run()
+        said = None
+    except (ValueError, MemoryError) as why:
+        said = str(why)
+    return spark.createDataFrame([(said,)], "message string")
+
+
+def _bucket_sql(kept: str, plain: str) -> str:
+    return (
+        f"select cast(count_if(size > {_MAX_BUCKET}) as bigint) as skipped_high_frequency_seed_buckets, coalesce(max(case when size > {_MAX_BUCKET} then size end), 0) as largest_skipped_seed_bucket,"
+        f" cast(count_if({plain}) as bigint) as skipped_low_complexity_seed_buckets, coalesce(max(case when {kept} then size end), 0) as largest_retained_seed_bucket,"
+        f" cast(coalesce(sum(case when not ({kept}) then size end), 0) as bigint) as members_in_skipped_seed_buckets_with_multiplicity"
+    )
+
+
+@query(f"with {_SEEDS} {_bucket_sql(f'size <= {_MAX_BUCKET}', 'false')} from buckets")
 def seed_bucket_stats(spark, sf_dir):
-    index = candidates.seeds(A.document_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1)
+    index = candidates.seeds(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1)
     return candidates.bucket_stats(candidates.seed_buckets(index), _MAX_BUCKET, 0.0)
 
 
-_CANDIDATES = (
-    f"{_SEEDS}, pairs as (select distinct l, r from (select a.pair_index as l, b.pair_index as r from seeds a join buckets k using (lane, mate, place, seed) join seeds b using (lane, mate, place, seed)"
-    f" where k.size <= {_MAX_BUCKET} and a.pair_index < b.pair_index union all select a.pair_index, b.pair_index from reads a join reads b on a.lane = b.lane and a.bases = b.bases and a.pair_index < b.pair_index))"
-)
+_BY_ENTROPY = f"{_SEEDS}, c as (select seed, unnest(string_split(seed, '')) as c from (select distinct seed from buckets)), k as (select seed, cast(count(*) as double) as n, {_COUNTS} from c where c <> '' group by 1), e as (select seed, {_ENTROPY} as entropy from k), rated as (select * from buckets join e using (seed))"
+
 
+@query(f"with {_BY_ENTROPY} {_bucket_sql(f'size <= {_MAX_BUCKET} and entropy >= {_LOW}', f'size <= {_MAX_BUCKET} and entropy < {_LOW}')} from rated")
+def low_complexity_buckets(spark, sf_dir):
+    index = candidates.seeds(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1)
+    return candidates.bucket_stats(candidates.seed_buckets(index), _MAX_BUCKET, _LOW)
+
+
+_FOUND = "select distinct l, r from (select a.pair_index as l, b.pair_index as r from seeds a join {buckets} k using (lane, mate, place, seed) join seeds b using (lane, mate, place, seed) where k.size <= {cap}{more} and a.pair_index < b.pair_index union all select a.pair_index, b.pair_index from reads a join reads b on a.lane = b.lane and a.bases = b.bases and a.pair_index < b.pair_index)"
+_CANDIDATES = f"{_SEEDS}, pairs as ({_FOUND.format(buckets='buckets', cap=_MAX_BUCKET, more='')})"
 
-def _candidates(spark, sf_dir):
-    return candidates.candidate_pairs(A.document_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1, max_bucket=_MAX_BUCKET)[0]
+
+def _candidates(spark, sf_dir, **limits):
+    return candidates.candidate_pairs(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1, max_bucket=_MAX_BUCKET, **limits)[0]
 
 
 @query(f"with {_CANDIDATES} select l, r from pairs")
@@ -125,122 +184,122 @@ def seed_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir)
 
 
-@query(f"with {A.DOCUMENT_READS}, c as (select generate_subscripts(string_split(bases, ''), 1) - 1 as cycle, unnest(string_split(bases, '')) as b from reads) select cast(cycle as int) as cycle, " + ", ".join(f"round((sum((b = '{x}')::int) + 1) / (sum((b in ('A', 'C', 'G', 'T'))::int) + 4), 9) as p{x.lower()}" for x in "ACGT") + " from c where b <> '' group by 1")
+@query(f"with {_BY_ENTROPY} {_FOUND.format(buckets='rated', cap=_MAX_BUCKET, more=f' and k.entropy >= {_LOW}')}")
+def complex_seed_candidates(spark, sf_dir):
+    """Pairs found by seeds of a least entropy."""
+    return _candidates(spark, sf_dir, min_entropy=_LOW)
+
+
+@query(f"with {_CANDIDATES}, n as (select count(*) as n from pairs), k as (select greatest((select max(size) from buckets where size <= {_MAX_BUCKET}), (select coalesce(max(s), 0) from (select count(*) as s from reads group by lane, bases having count(*) > 1))) as top) select format('{{:,}}', n) || ' candidate pairs, above the limit of 1,000; the largest kept bucket has ' || format('{{:,}}', top) || ' reads' as message from n, k")
+def candidate_limit(spark, sf_dir):
+    """What more candidates than allowed are refused with."""
+
+    def run():
+        edges, details = candidates.candidate_pairs(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1, max_bucket=_MAX_BUCKET)
+        candidates.check_candidates(edges.count(), 1000, details)
+
+    return _refusal(spark, run)
+
+
+@query(f"with {A.READ_SQL}, c as (select generate_subscripts(string_split(bases, ''), 1) - 1 as cycle, unnest(string_split(bases, '')) as b from reads) select cast(cycle as int) as cycle, " + ", ".join(f"round((sum((b = '{x}')::int) + 1) / (sum((b in ('A', 'C', 'G', 'T'))::int) + 4), 9) as p{x.lower()}" for x in "ACGT") + " from c where b <> '' group by 1")
 def base_priors(spark, sf_dir):
-    return rounded(candidates.base_priors(A.document_reads(spark, sf_dir)), "pa", "pc", "pg", "pt")
+    return rounded(candidates.base_priors(A.text_reads(spark, sf_dir)), "pa", "pc", "pg", "pt")
+
+
+_ERRORS = f"{A.READ_SQL}, c as (select generate_subscripts(string_split(quals, ''), 1) - 1 as cycle, least(greatest(ascii(unnest(string_split(quals, ''))) - 33, 0), 60) as q, unnest(string_split(quals, '')) as c from reads), errors as (select cast(cycle as int) as cycle, avg(pow(10.0, -q / 10.0)) as error from c where c <> '' group by 1)"
 
 
-@query(f"with {A.DOCUMENT_READS}, c as (select generate_subscripts(string_split(quals, ''), 1) - 1 as cycle, least(greatest(ascii(unnest(string_split(quals, ''))) - 33, 0), 60) as q, unnest(string_split(quals, '')) as c from reads) select cast(cycle as int) as cycle, round(avg(pow(10.0, -q / 10.0)), 9) as error from c where c <> '' group by 1")
+@query(f"with {_ERRORS} select cycle, round(error, 9) as error from errors")
 def cycle_errors(spark, sf_dir):
-    return rounded(candidates.mean_cycle_errors(A.document_reads(spark, sf_dir)), "error")
+    return rounded(candidates.mean_cycle_errors(A.text_reads(spark, sf_dir)), "error")
+
+
+@query(
+    f"with {_ERRORS}, k as (select count(*) as cycles, sum(2 * least(0.75, error) - 4.0 / 3 * least(0.75, error) * least(0.75, error)) as expected, avg(least(0.75, error)) as mean from errors), n as (select greatest(8, cast(ceil(log2(count(*)) / 2) as int)) as needed from reads)"
+    " select round(expected, 9) as expected_mismatches, round(mean, 9) as mean_error, cast(floor(cycles / (expected + 1)) as int) as supported, needed, cast(least(20, greatest(needed, floor(cycles / (expected + 1)))) as int) as selected from k, n"
+)
+def seed_length(spark, sf_dir):
+    reads = A.text_reads(spark, sf_dir)
+    errors = [r.error for r in candidates.mean_cycle_errors(reads).orderBy("cycle").collect()]
+    s = candidates.choose_seed_length(errors, reads.count(), Config.seed_length, True)
+    row = (round(s.expected_mismatches_between_copies, 9), round(s.mean_reported_error_rate, 9), s.length_supported_by_quality, s.length_needed_to_discriminate, s.selected)
+    return spark.createDataFrame([row], "expected_mismatches double, mean_error double, supported int, needed int, selected int")
 
 
 # --- quality model --------------------------------------------------------------
 
-_PRIORS = "priors as (select cycle, " + ", ".join(f"(sum((b = '{x}')::int) + 1) / (sum((b in ('A', 'C', 'G', 'T'))::int) + 4) as p{x.lower()}" for x in "ACGT") + " from (select generate_subscripts(string_split(bases, ''), 1) as cycle, unnest(string_split(bases, '')) as b from reads) where b <> '' group by 1)"
+_PRIORS = "priors as (select cycle, " + ", ".join(f"(sum((b = '{x}')::int) + 1) / (sum((b in ('A', 'C', 'G', 'T'))::int) + 4) as p{x.lower()}" for x in "ACGT") + " from (select generate_subscripts(string_split(bases, ''), 1) as cycle, unnest(string_split(bases, '')) as b from reads) where b <> '' group by 1), filled as (select pair_index, " + f"rpad(bases, {A.CYCLES}, 'N') as bases, rpad(quals, {A.CYCLES}, '!') as quals from reads)"
 _PI = "case {b} when 'A' then pa when 'C' then pc when 'G' then pg else pt end"
 _CYCLES = f"""cycles as (select l, r, cycle, substr(x.bases, cycle, 1) as b1, substr(y.bases, cycle, 1) as b2,
   least(0.75, pow(10.0, -least(greatest(ascii(substr(x.quals, cycle, 1)) - 33, 0), 60) / 10.0)) as e1, least(0.75, pow(10.0, -least(greatest(ascii(substr(y.quals, cycle, 1)) - 33, 0), 60) / 10.0)) as e2,
-  pa, pc, pg, pt from pairs join reads x on x.pair_index = l join reads y on y.pair_index = r, priors),
+  pa, pc, pg, pt from pairs join filled x on x.pair_index = l join filled y on y.pair_index = r, priors),
 parts as (select *, b1 <> 'N' and b2 <> 'N' as valid, {_PI.format(b='b1')} as p1, {_PI.format(b='b2')} as p2, e1 + e2 - 4.0 / 3 * e1 * e2 as q from cycles),
 terms as (select *, case when b1 = b2 then p1 * (1 - e1) * (1 - e2) + (1 - p1) * e1 * e2 / 9 else p1 * (1 - e1) * e2 / 3 + p2 * (1 - e2) * e1 / 3 + (1 - p1 - p2) * e1 * e2 / 9 end
-  / ((p1 * (1 - e1) + (1 - p1) * e1 / 3) * (p2 * (1 - e2) + (1 - p2) * e2 / 3)) as ratio from parts)"""
+  / ((p1 * (1 - e1) + (1 - p1) * e1 / 3) * (p2 * (1 - e2) + (1 - p2) * e2 / 3)) as ratio from parts),
+scored as (select l, r, cast(sum((valid and b1 <> b2)::int) as int) as mismatches, cast(sum(valid::int) as int) as valid_bases, sum(case when valid then q else 0 end) as expected_mismatches,
+  sum(case when valid then log10(ratio) else 0 end) as log10_bayes_factor, sum(case when valid and b1 <> b2 then -log10(q) else 0 end) as mismatch_surprisal from terms group by 1, 2)"""
+_SCORED = f"{_CANDIDATES}, {_PRIORS}, {_CYCLES}"
 
 
 def _scored(spark, sf_dir):
-    reads = A.document_reads(spark, sf_dir)
+    reads = A.text_reads(spark, sf_dir)
     priors = [tuple(r)[1:] for r in candidates.base_priors(reads).orderBy("cycle").collect()]
-    return quality.score_pairs(quality.with_reads(_candidates(spark, sf_dir), reads, ["bases", "quals"]), priors)
+    # all reads have the same number of cycles; what a text's last read lacks is unknown
+    filled = reads.withColumns({"bases": F.rpad("bases", len(priors), "N"), "quals": F.rpad("quals", len(priors), "!")})
+    return quality.score_pairs(quality.with_reads(_candidates(spark, sf_dir), filled, ["bases", "quals"]), priors)
 
 
-@query(
-    f"with {_CANDIDATES}, {_PRIORS}, {_CYCLES} select l, r, cast(sum((valid and b1 <> b2)::int) as int) as mismatches, cast(sum(valid::int) as int) as valid_bases, round(sum(case when valid then q else 0 end), 6) as expected_mismatches,"
-    " round(sum(case when valid then log10(ratio) else 0 end), 6) as log10_bayes_factor, round(sum(case when valid and b1 <> b2 then -log10(q) else 0 end), 6) as mismatch_surprisal from terms group by 1, 2"
-)
+@query(f"with {_SCORED} select l, r, mismatches, valid_bases, round(expected_mismatches, 6) as expected_mismatches, round(log10_bayes_factor, 6) as log10_bayes_factor, round(mismatch_surprisal, 6) as mismatch_surprisal from scored")
 def pair_scores(spark, sf_dir):
     return rounded(_scored(spark, sf_dir).drop("compatibility_p"), "expected_mismatches", "log10_bayes_factor", "mismatch_surprisal", digits=6)
 
 
-@query()
-def mismatch_tail(spark, sf_dir):
-    return rounded(_whole_scored(spark, sf_dir).select("l", "r", "mismatches", "compatibility_p"), "compatibility_p", digits=6)
-
-
-@query(f"with {_CANDIDATES}, {_PRIORS}, {_CYCLES}, s as (select l, r, sum((valid and b1 <> b2)::int) as mismatches from terms group by 1, 2) select cast(least(6, mismatches) as int) as mismatches, count(*) as n from s group by 1")
-def mismatch_bars(spark, sf_dir):
-    return calibration.mismatch_bars(_scored(spark, sf_dir))
-
-
-# --- letters, candidates and quality model over whole texts -----------------------
-# The queries above whose SQL reads openings only keep their rows; these read every
-# letter of every text and are checked by the tests against plain Python.
+#: The tail from the characteristic function: a product over cycles at each of N + 1 angles, then a sum over the counts from m on.
+_TAIL = f"""{_SCORED}, angles as (select j, 2 * pi() * j / {A.CYCLES + 1} as a from (select unnest(range(0, {A.CYCLES + 1})) as j)),
+waves as (select l, r, j, a, sum(0.5 * ln(pow(1 + q * (cos(a) - 1), 2) + pow(q * sin(a), 2))) as size, sum(atan2(q * sin(a), 1 + q * (cos(a) - 1))) as turn from terms, angles where valid group by 1, 2, 3, 4),
+tails as (select w.l, w.r, sum(exp(size) * list_sum(list_transform(range(mismatches, {A.CYCLES + 1}), lambda k: cos(turn - a * k)))) / {A.CYCLES + 1} as tail from waves w join scored s on w.l = s.l and w.r = s.r group by 1, 2)"""
 
-WHOLE_MAX_BUCKET = Config.max_seed_bucket
 
-
-@query()
-def whole_pair_signature(spark, sf_dir):
-    r = A.whole_letters(spark, sf_dir)
-    return r.select(F.col("pair_index").alias("doc_id"), names.pair_signature(F.substring("bases", 1, A.R1), F.expr(f"substring(bases, {A.R1 + 1})")).alias("signature"))
-
-
-@query()
-def whole_quality_sums(spark, sf_dir):
-    r = A.whole_letters(spark, sf_dir)
-    return r.select("pair_index", names.phred_sum(F.col("quals")).alias("quality_sum"), names.clipped_phred_sum(F.col("quals")).alias("clipped_sum"))
-
-
-@query()
-def whole_sequence_families(spark, sf_dir):
-    return candidates.exact_families(A.whole_letters(spark, sf_dir))
-
-
-@query()
-def whole_seed_entropy(spark, sf_dir):
-    index = candidates.seeds(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1)
-    return index.select("pair_index", "mate", "at", "seed", F.round(names.seed_entropy(F.col("seed")), 9).alias("entropy"))
-
-
-@query()
-def whole_base_priors(spark, sf_dir):
-    return rounded(candidates.base_priors(A.text_reads(spark, sf_dir)), "pa", "pc", "pg", "pt")
-
-
-@query()
-def whole_cycle_errors(spark, sf_dir):
-    return rounded(candidates.mean_cycle_errors(A.text_reads(spark, sf_dir)), "error")
+@query(f"with {_TAIL} select l, r, mismatches, round(case when mismatches = 0 then 1.0 else least(1.0, greatest(0.0, tail)) end, 6) + 0.0 as compatibility_p from scored left join tails using (l, r)")
+def mismatch_tail(spark, sf_dir):
+    return rounded(_scored(spark, sf_dir).select("l", "r", "mismatches", "compatibility_p"), "compatibility_p", digits=6)
 
 
-@query()
-def whole_seed_bucket_stats(spark, sf_dir):
-    index = candidates.seeds(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1)
-    return candidates.bucket_stats(candidates.seed_buckets(index), WHOLE_MAX_BUCKET, 0.0)
+@query(f"with {_SCORED} select l, r, log10_bayes_factor > 0 as eligible, log10_bayes_factor <= 0 as refused from scored")
+def eligible_pairs(spark, sf_dir):
+    """The rule of eligible pairs, and the pairs it refuses, which are a null control."""
+    rule, refused = quality.eligibility(Config.sequence_min_p, Config.min_log10_bayes_factor)
+    return _scored(spark, sf_dir).select("l", "r", F.expr(rule).alias("eligible"), F.expr(refused).alias("refused"))
 
 
-def _whole_candidates(spark, sf_dir):
-    return candidates.candidate_pairs(A.text_reads(spark, sf_dir), A.SEED, A.R1, A.CYCLES - A.R1, max_bucket=WHOLE_MAX_BUCKET)[0]
+_MEDIANS = "round(median(log10_bayes_factor), 6) as log10_bayes_factor, round(median(expected_mismatches), 6) as expected_mismatches"
 
 
-@query()
-def whole_seed_candidates(spark, sf_dir):
-    return _whole_candidates(spark, sf_dir)
+@query(f"with {_SCORED} select count(*) as n, {_MEDIANS} from scored where log10_bayes_factor > 0")
+def eligible_medians(spark, sf_dir):
+    rule, _ = quality.eligibility(Config.sequence_min_p, Config.min_log10_bayes_factor)
+    return rounded(quality.medians(_scored(spark, sf_dir).where(rule), "log10_bayes_factor", "expected_mismatches"), "log10_bayes_factor", "expected_mismatches", digits=6)
 
 
-def _whole_scored(spark, sf_dir):
-    reads = A.text_reads(spark, sf_dir)
-    priors = [tuple(r)[1:] for r in candidates.base_priors(reads).orderBy("cycle").collect()]
-    filled = reads.withColumns({"bases": F.rpad("bases", len(priors), "N"), "quals": F.rpad("quals", len(priors), "!")})
-    return quality.score_pairs(quality.with_reads(_whole_candidates(spark, sf_dir), filled, ["bases", "quals"]), priors)
+#: The fixed point of the expectation maximisation, by bisection: below it a round raises the prior.
+_EM = f"""{_SCORED}, evidence as materialized (select least(700.0, greatest(-700.0, log10_bayes_factor * ln(10.0))) as z from scored where log10_bayes_factor > 0),
+total as materialized (select cast(sum(n * (n - 1) / 2) as double) as relations from (select lane, count(*) as n from reads group by 1)),
+search as (with recursive s(k, low, high) as (select 0, 1e-12::double, 0.5::double union all
+  select k + 1, case when up then mid else low end, case when up then high else mid end from (select k, low, high, sqrt(low * high) as mid,
+    (select sum(1 / (1 + exp(-(ln(sqrt(low * high)) - ln(1 - sqrt(low * high)) + z)))) from evidence) / (select relations from total) > sqrt(low * high) as up from s where k < 60)) select low, high from s where k = 60)"""
 
 
-@query()
-def whole_pair_scores(spark, sf_dir):
-    return rounded(_whole_scored(spark, sf_dir).drop("compatibility_p"), "expected_mismatches", "log10_bayes_factor", "mismatch_surprisal", digits=6)
+@query(f"with recursive {_EM} select round(sqrt(low * high) * 1e6, 4) as prior_ppm from search")
+def template_prior(spark, sf_dir):
+    """The share of relations that are of one template, in millionths."""
+    rule, _ = quality.eligibility(Config.sequence_min_p, Config.min_log10_bayes_factor)
+    prior, _, _ = quality.same_template_prior(_scored(spark, sf_dir), rule, candidates.lane_relations(A.text_reads(spark, sf_dir)))
+    return spark.createDataFrame([(round(prior * 1e6, 4),)], "prior_ppm double")
 
 
-@query()
-def whole_mismatch_bars(spark, sf_dir):
-    return calibration.mismatch_bars(_whole_scored(spark, sf_dir))
+@query(f"with {_SCORED} select cast(least(6, mismatches) as int) as mismatches, count(*) as n from scored group by 1")
+def mismatch_bars(spark, sf_dir):
+    return calibration.mismatch_bars(_scored(spark, sf_dir))
 
 
 # --- geometry -------------------------------------------------------------------
@@ -320,19 +379,35 @@ def nearest_partner(spark, sf_dir):
 
 _TESTED = f"""{_NEAREST}, sizes as (select lane, surface, count(*) - 1 as population from placed group by 1, 2),
 asked as (select n.*, p.lane, p.surface, p.gx, p.gy, population from nearest n join placed p on p.pair_index = n.read join sizes using (lane, surface)),
-within as (select a.read, count(*) - 1 as neighbours from asked a join placed p on p.lane = a.lane and p.surface = a.surface and abs(p.gx - a.gx) <= a.nearest_distance and abs(p.gy - a.gy) <= a.nearest_distance group by 1),
-chances as (select a.read, within.neighbours, case when within.neighbours is null or population - within.neighbours - partner_count < 0 then 1.0
-  else least(1.0, greatest(0.0, 1 - exp((select sum(ln(1 - least(1.0, within.neighbours / (population - j)))) from (select unnest(range(0, partner_count)) as j))))) end as p
-  from asked a left join within using (read))"""
+within as (select a.read, count(*) - 1 as neighbours from asked a join placed p on p.lane = a.lane and p.surface = a.surface and p.gx between a.gx - a.nearest_distance and a.gx + a.nearest_distance and p.gy between a.gy - a.nearest_distance and a.gy + a.nearest_distance group by 1),
+met as (select a.read, a.partner_count, population, w.neighbours, w.neighbours is not null and population - w.neighbours - a.partner_count >= 0 as feasible from asked a left join within w using (read)),
+each as (select read, neighbours / (population - j) as hit from (select *, unnest(range(0, partner_count)) as j from met where feasible)),
+missed as (select read, sum(ln(1 - least(1.0, hit))) as missed from each group by 1),
+chances as (select read, neighbours, case when feasible then least(1.0, greatest(0.0, 1 - exp(missed))) else 1.0 end as p from met left join missed using (read))"""
 
 
-@query(f"with {_TESTED} select read, partner, partner_count, nearest_distance, edge_id, neighbours, population, round(p, 8) as p from asked join chances using (read)")
+@query(f"with {_TESTED} select read, partner, partner_count, nearest_distance, edge_id, neighbours, population, round(p, 8) + 0.0 as p from asked join chances using (read)")
 def read_test(spark, sf_dir):
     edges, reads, frame = _measured(spark, sf_dir)
     found = spatial.read_test(edges, reads, frame, "adjacent", "chebyshev")
     return rounded(found.select("read", "partner", "partner_count", "nearest_distance", "edge_id", "neighbours", "population", "p"), "p", digits=8)
 
 
+_GRID = 384
+
+
+@query(
+    f"with {A.PLACED}, far as (select lane, surface, case when count(*) > 1 then cast(greatest(2 * any_value(cx), 2 * any_value(cy)) as double) else 0.0 end as m from placed, box group by 1, 2),"
+    f" raw as (select lane, surface, unnest(list_concat(list_transform(range(0, 257), lambda i: i::double), list_transform(range(0, {_GRID}), lambda i: 257.0 * pow(m / 257.0, i / {_GRID - 1}.0)), [m])) as radius from far) select distinct lane, surface, round(radius, 3) as radius from raw"
+)
+def radius_grid(spark, sf_dir):
+    """The radii at which each group's null is evaluated, up to the largest testable distance."""
+    reads, frame = _placed(spark, sf_dir)
+    far = geometry.max_testable_distance(reads, frame, "adjacent", 1, "chebyshev").collect()
+    rows = [(r.lane, r.surface, round(float(x), 3)) for r in far for x in geometry.radius_grid(r.max_radius, _GRID)]
+    return spark.createDataFrame(sorted(set(rows)), "lane string, surface int, radius double")
+
+
 _RADII = (0, 10, 50, 100, 500, 1000, 5000, 20000, 60000)
 _NULL = f"""{_TILES}, radii as (select unnest([{', '.join(f'{r}.0' for r in _RADII)}])::double as radius),
 apart as (select a.lane, a.surface, {_DIST} as d from placed a join placed b on a.pair_index < b.pair_index and {_TESTABLE}),
@@ -368,10 +443,50 @@ def edge_spatial_p(spark, sf_dir):
     return rounded(found.select("l", "r", "spatial_p", spatial.conditional_p("spatial_p", "share", "testable").alias("conditional_p")), "spatial_p", "conditional_p")
 
 
-@query()
+_MOVED = "count(*) as reads, count(distinct (gx, gy)) as places, cast(sum(gx) as bigint) as sum_x, cast(sum(gy) as bigint) as sum_y, cast(sum(gx * gy) as bigint) as sum_xy"
+
+
+@query(f"with {A.PLACED} select replicate, lane, surface, tile, {_MOVED} from placed, (select unnest([1, 2]) as replicate) group by 1, 2, 3, 4")
 def shuffled_positions(spark, sf_dir):
+    """Each replicate deals out every place of a lane and surface, with its tile, exactly once."""
     reads, _ = _placed(spark, sf_dir)
-    return spatial.shuffled_positions(reads, 2, 20260903, ["tile", "col", "row", "gx", "gy"])
+    moved = spatial.shuffled_positions(reads, 2, 20260903, ["tile", "col", "row", "gx", "gy"])
+    sums = (F.count("*").alias("reads"), F.countDistinct("gx", "gy").alias("places"), *(F.sum(c).alias(n) for c, n in ((F.col("gx"), "sum_x"), (F.col("gy"), "sum_y"), (F.col("gx") * F.col("gy"), "sum_xy"))))
+    return moved.groupBy("replicate", "lane", "surface", "tile").agg(*sums)
+
+
+@query(f"with {A.PLACED}, own as (select lane, surface, pair_index from placed) select replicate, lane, surface, count(*) as reads, count(distinct pair_index) as read_ids from own, (select unnest([1, 2, 3]) as replicate) group by 1, 2, 3")
+def shuffled_reads(spark, sf_dir):
+    """Each replicate moves every read exactly once, and never out of its lane and surface."""
+    reads, _ = _placed(spark, sf_dir)
+    moved = spatial.shuffled_positions(reads, 3, 20260903, ["gx", "gy"]).select("replicate", "pair_index", F.col("lane").alias("to_lane"), F.col("surface").alias("to_surface"))
+    both = moved.join(reads.select("pair_index", "lane", "surface"), "pair_index").where("lane = to_lane and surface = to_surface")
+    return both.groupBy("replicate", "lane", "surface").agg(F.count("*").alias("reads"), F.countDistinct("pair_index").alias("read_ids"))
+
+
+@query(
+    f"with {_TILES}, {_MEASURED}, t as (select lane, surface, sum(n * (n - 1) / 2) as own, sum(n) as reads from tiles group by 1, 2), x as (select a.lane, a.surface, sum(a.n * b.n) as c from tiles a join tiles b on a.tile < b.tile and {_TESTABLE} group by 1, 2),"
+    " m as (select lane, surface, count(*) as tested, count_if(testable) as tested_testable from measured group by 1, 2)"
+    " select lane, surface, coalesce(tested, 0) as tested, cast(coalesce(tested_testable, 0) as bigint) as tested_testable, round(coalesce(tested, 0) * (own + coalesce(c, 0)) / (reads * (reads - 1) / 2), 6) as expected_testable, round(tested_testable / (tested * (own + coalesce(c, 0)) / (reads * (reads - 1) / 2)), 6) as enrichment"
+    " from t left join x using (lane, surface) left join m using (lane, surface)"
+)
+def group_enrichment(spark, sf_dir):
+    tested, reads, _ = _measured(spark, sf_dir)
+    found = spatial.group_enrichment(geometry.testable_relations(reads, "adjacent", 1), tested)
+    return rounded(found.select("lane", "surface", "tested", "tested_testable", "expected_testable", "enrichment"), "expected_testable", "enrichment", digits=6)
+
+
+_AT = (5, 60, 700, 30000)
+
+
+@query(
+    f"with {_NULL}, {_MEASURED}, w as (select lane, surface, count(*) as w from measured group by 1, 2), at as (select unnest([{', '.join(f'{r}.0' for r in _AT)}])::double as r),"
+    " v as (select r, lane, surface, arg_max(cdf, radius) as v from cdf join at on radius <= r group by 1, 2, 3) select r as radius, round(sum(v * w) / (select sum(w) from w), 9) as cdf from v join w using (lane, surface) group by 1".replace(" at as (", " spots as (").replace("join at on", "join spots on")
+)
+def weighted_null(spark, sf_dir):
+    cdf, _ = _null(spark, sf_dir)
+    curve = calibration.weighted_null_curve(cdf, _measured(spark, sf_dir)[0], list(_AT))
+    return spark.createDataFrame([(float(r), round(v, 9)) for r, v in zip(_AT, curve)], "radius double, cdf double")
 
 
 # --- multiple testing -----------------------------------------------------------
@@ -409,26 +524,34 @@ def permutation_q(spark, sf_dir):
     return rounded(multiplicity.permutation_q(tests, A.permuted_p_values(spark, sf_dir, 3), 3).select("id", "q_permutation"), "q_permutation")
 
 
-_SMALL = 89
-_FDR = f"""{A.p_values_sql(_SMALL)}, steps as (select p as x, count(*) / (select count(*) from tests) as n from tests group by 1),
-points as (select 0.0::double as x, 0.0::double as f union all select x, sum(n) over (order by x) from steps union all select 1.0, 1.0),
-slopes as (select a.x as a, b.x as b, (b.f - a.f) / (b.x - a.x) as s from points a join points b on a.x < b.x),
+#: The least concave majorant from vertex to vertex: the next one has the steepest slope, and of equal ones is the farthest.
+_FDR = f"""{_P}, steps as (select p as x, count(*) / (select count(*) from tests) as n from tests group by 1),
+points as materialized (select 0.0::double as x, 0.0::double as f union all select x, sum(n) over (order by x) from steps union all select 1.0, 1.0),
+hull as (with recursive h(x, f, x0, d) as (select 0.0::double, 0.0::double, null::double, null::double union all
+  select x, f, x0, d from (select b.x, b.f, h.x as x0, (b.f - h.f) / (b.x - h.x) as d, row_number() over (order by round((b.f - h.f) / (b.x - h.x), 12) desc, b.x desc) as k from h join points b on b.x > h.x) where k = 1) select * from h where d is not null),
 cells as (select x as low, lead(x) over (order by x) as high from points),
-density as (select low, high, min(best) as d from (select low, high, a, max(s) as best from cells join slopes on a <= low and b >= high group by 1, 2, 3) group by 1, 2),
+density as materialized (select low, high, d from cells join hull on low >= x0 and high <= x),
 shares as (select least(1.0, count_if(p > 0.5) / (0.5 * count(*))) as storey from tests),
 pi as (select least(1.0, greatest(storey, (select d from density order by low desc limit 1), 1e-6)) as pi0 from shares),
 lf as (select id, p, least(1.0, pi0 / greatest(d, 1e-12)) as raw from tests join density on low = p, pi),
 mono as (select id, p, max(raw) over (order by p) as local_fdr from lf)"""
 
 
-@query(f"with {_FDR} select low, high, round(d, 7) + 0.0 as density from density where high is not null")
+@query(f"with recursive {_FDR} select low, high, round(d, 7) + 0.0 as density from density where high is not null")
 def grenander_density(spark, sf_dir):
-    return rounded(multiplicity.grenander(multiplicity.empirical_cdf(A.p_values(spark, sf_dir, _SMALL))), "density", digits=7)
+    return rounded(multiplicity.grenander(multiplicity.empirical_cdf(A.p_values(spark, sf_dir))), "density", digits=7)
 
 
-@query(f"with {_FDR} select id, round(local_fdr, 7) as local_fdr from mono")
+@query(f"with recursive {_FDR} select id, round(local_fdr, 7) as local_fdr from mono")
 def local_fdr(spark, sf_dir):
-    return rounded(multiplicity.local_fdr(A.p_values(spark, sf_dir, _SMALL))[0].select("id", "local_fdr"), "local_fdr", digits=7)
+    return rounded(multiplicity.local_fdr(A.p_values(spark, sf_dir))[0].select("id", "local_fdr"), "local_fdr", digits=7)
+
+
+@query(f"with recursive {_FDR} select t.threshold, n.permutations, case when pi0 < t.threshold then 'local-fdr' when n.permutations > 0 then 'permutation' else 'by' end as method from pi, (select unnest([0.5, 0.9, 1.0])::double as threshold) t, (select unnest([0, 20]) as permutations) n")
+def method_choice(spark, sf_dir):
+    _, mixture = multiplicity.local_fdr(A.p_values(spark, sf_dir))
+    rows = [(t, n, multiplicity.choose_method("auto", mixture.pi0, t, n)[0]) for t in (0.5, 0.9, 1.0) for n in (0, 20)]
+    return spark.createDataFrame(rows, "threshold double, permutations int, method string")
 
 
 @query(
@@ -472,6 +595,47 @@ def distance_cuts(spark, sf_dir):
     return calibration.cut_counts(spatial.nearest_partner(_measured(spark, sf_dir)[0]))
 
 
+_SHUFFLES = 4
+_CUT_LIST = ", ".join(f"{c}.0" for c in calibration.CUTS)
+_CURVE = f"""{_NEAREST}, {A.permuted_distances_sql(_SHUFFLES)}, cuts as (select unnest([{_CUT_LIST}])::double as cut),
+seen as (select cut, count_if(nearest_distance <= cut) as seen from nearest, cuts group by 1), runs as (select unnest(range(1, {_SHUFFLES + 1})) as replicate),
+each as (select cut, runs.replicate, count_if(nearest_distance <= cut) as n from runs cross join cuts left join shuffled on shuffled.replicate = runs.replicate group by 1, 2),
+curve as (select cut, seen, avg(n) as chance, stddev_pop(n) as scatter, seen - avg(n) as excess from each join seen using (cut) group by cut, seen),
+top as (select cut as top_cut, excess as most, scatter as noise from curve order by excess desc, cut limit 1),
+said as (select *, most > 1 and most > 3 * noise as found from top)"""
+
+
+@query(
+    f"with {_CURVE} select cut as distance_px, cast(seen as bigint) as observed, round(chance, 6) as expected, round(excess, 6) as excess, found, round(noise, 6) + 0.0 as noise, case when found then round(greatest(0.0, most), 6) else 0.0 end as proximity,"
+    " round((select seen from curve order by cut desc limit 1) - greatest(0.0, most), 6) as by_chance, case when found then top_cut end as peak, case when found then (select min(cut) from curve where excess >= 0.95 * most) end as saturation from curve, said"
+)
+def duplicate_decomposition(spark, sf_dir):
+    """The curve of duplication by distance, with what is concluded from it beside each row."""
+    near = spatial.nearest_partner(_measured(spark, sf_dir)[0])
+    d = calibration.decomposition(near, A.permuted_distances(spark, sf_dir, _SHUFFLES), _SHUFFLES, near.count())
+    rest = (d["proximity_duplication_detected"], round(d["permutation_noise_at_peak"], 6), round(float(d["proximity_duplicate_reads"]), 6), round(float(d["chance_positioned_reads"]), 6), d["peak_distance_px"], d["saturation_distance_px"])
+    rows = [(c["distance_px"], c["observed_reads"], round(float(c["expected_if_positions_random"]), 6), round(float(c["excess_reads"]), 6), *rest) for c in d["curve"]]
+    return spark.createDataFrame(rows, "distance_px double, observed bigint, expected double, excess double, found boolean, noise double, proximity double, by_chance double, peak double, saturation double")
+
+
+_TAIL_RATIOS = ", ".join(f"case when count_if(p <= {a}) >= 10 then count_if(p <= {a}) / count(*) / {a} end" for a in calibration.ALPHAS)
+
+
+@query(
+    f"with {A.permuted_sql(3)}, o as (select *, row_number() over (partition by replicate order by p) as k, count(*) over (partition by replicate) as n from permuted)"
+    f" select replicate as control, count(*) as n, round(count_if(p >= 1) / count(*), 9) as atom_at_one, round(median(p), 9) as median_p, round(list_median(list_filter([{_TAIL_RATIOS}], lambda x: x is not null)), 9) as tail_inflation,"
+    " round(greatest(max(k / n - p), max(p - (k - 1) / n)), 9) as ks_distance from o group by 1".replace("list_median(", "list_aggregate(").replace("x is not null))", "x is not null), 'median')")
+)
+def null_controls(spark, sf_dir):
+    """Calibration of p-values that should be uniform, a control a row."""
+    permuted = A.permuted_p_values(spark, sf_dir, 3)
+    rows = []
+    for k in (1, 2, 3):
+        c = calibration.calibration(permuted.where(F.col("replicate") == k))
+        rows.append((k, c["count"], *(round(float(c[x]), 9) for x in ("atom_at_one", "median_p", "tail_inflation", "two_sided_kolmogorov_smirnov_d"))))
+    return spark.createDataFrame(rows, "control int, n bigint, atom_at_one double, median_p double, tail_inflation double, ks_distance double")
+
+
 # --- decisions ------------------------------------------------------------------
 
 #: Calls: a third of the pairs, with a made-up q-value.
@@ -504,17 +668,20 @@ def removal_decisions(spark, sf_dir):
     return decisions.decide(tests, reads, "q", 0.03)
 
 
+_TARGETS = ", ".join(f"{t}::double" for t in decisions.THRESHOLDS)
+
+
 @query(
-    "with recursive "
-    + _CALLS
-    + _COMPONENTS.format(t=0.001)
-    + ", a as (select 0.001::double as fdr, (select count(*) from calls) as significant_edges, count(distinct component) as components, count(*) - count(distinct component) as read_pairs_removed from reach),"
-    + _COMPONENTS.format(t=0.01)[2:].replace("calls", "calls2").replace("links", "links2").replace("nodes", "nodes2").replace("reach", "reach2").replace("walk", "walk2")
-    + ", b as (select 0.01::double as fdr, (select count(*) from calls2) as significant_edges, count(distinct component) as components, count(*) - count(distinct component) as read_pairs_removed from reach2) select * from a union all select * from b"
+    f"with recursive {_CALLS}, paired as (select *, cast((l * 17 + r * 31) % 1000 as double) / 5000.0::double as q2 from tests), cases as (select fdr, method from (select unnest([{_TARGETS}]) as fdr), (select unnest(['one', 'two']) as method)),"
+    " calls as (select fdr, method, l, r from paired join cases on case when method = 'one' then q else q2 end <= fdr), links as (select fdr, method, l as a, r as b from calls union select fdr, method, r, l from calls), nodes as (select distinct fdr, method, a as node from links),"
+    " reach as (with recursive walk(fdr, method, node, seen) as (select fdr, method, node, node from nodes union select w.fdr, w.method, w.node, k.b from walk w join links k on k.a = w.seen and k.fdr = w.fdr and k.method = w.method) select fdr, method, node, min(seen) as component from walk group by 1, 2, 3),"
+    " sizes as (select fdr, method, count(*) as nodes, count(distinct component) as components from reach group by 1, 2), edges_ as (select fdr, method, count(*) as n from calls group by 1, 2)"
+    " select fdr, method, coalesce(n, 0) as significant_edges, coalesce(components, 0) as components, coalesce(nodes - components, 0) as read_pairs_removed from cases left join edges_ using (fdr, method) left join sizes using (fdr, method)"
 )
 def sensitivity_table(spark, sf_dir):
-    rows = decisions.sensitivity(_tests(spark, sf_dir)[0], {"q": "q"}, (0.001, 0.01))
-    return spark.createDataFrame([(r["fdr"], *r["q"].values()) for r in rows], "fdr double, significant_edges bigint, components bigint, read_pairs_removed bigint")
+    tests = _tests(spark, sf_dir)[0].withColumn("q2", ((F.col("l") * 17 + F.col("r") * 31) % 1000).cast("double") / F.lit(5000.0))
+    rows = decisions.sensitivity(tests, {"one": "q", "two": "q2"})
+    return spark.createDataFrame([(r["fdr"], m, *r[m].values()) for r in rows for m in ("one", "two")], "fdr double, method string, significant_edges bigint, components bigint, read_pairs_removed bigint")
 
 
 @query(f"with recursive {_CALLS}{_COMPONENTS.format(t=0.002)}, k as (select component, count(*) as size from reach group by 1) select size, count(*) as components from k group by 1")
@@ -522,6 +689,100 @@ def component_sizes(spark, sf_dir):
     return decisions.component_stats(decisions.significant(_tests(spark, sf_dir)[0], "q", 0.002))[0]
 
 
+@query(SQL["removal_decisions"].replace(" select node as read, representative,", ", removed as (select node as read, representative,", 1) + ") select count(*) as removed_read_pairs, round(sum(least(1.0, 2 * tests.q)), 9) as expected_false_removals, round(sum(least(1.0, 2 * tests.q)) / count(*), 9) as estimated_read_level_fdr from removed join tests on tests.id = support_id")
+def read_level_fdr(spark, sf_dir):
+    """What the local FDRs (here twice the q-values) of the supports say of the removed reads."""
+    tests, reads = _tests(spark, sf_dir)
+    found = decisions.read_level_fdr(decisions.decide(tests, reads, "q", 0.03), tests.withColumn("local_fdr", F.least(F.lit(1.0), 2 * F.col("q"))))
+    return spark.createDataFrame([(found["removed_read_pairs"], round(found["expected_false_removals"], 9), round(found["estimated_read_level_fdr"], 9))], "removed_read_pairs bigint, expected_false_removals double, estimated_read_level_fdr double")
+
+
+@query(f"with {_TESTED}, units as (select read as id, partner, p from asked join chances using (read)), {_BH.format(p='p', t='units')} select id, round(case when p >= 1 or partner is null then 1.0 else q end, 8) as q_bh, case when partner is null then 1.0 else 0.0 end::double as q_sequence from q")
+def called_reads(spark, sf_dir):
+    """The q-value of a read's test, 1 where it has no evidence, and that of the run without a spatial test."""
+    edges, reads, frame = _measured(spark, sf_dir)
+    units = spatial.read_test(edges, reads, frame, "adjacent", "chebyshev").select(F.col("read").alias("id"), F.col("read").alias("l"), F.col("partner").alias("r"), "p")
+    out = multiplicity.without_evidence(multiplicity.bh_q(units), ["q_bh"])
+    return rounded(out.select("id", "q_bh", multiplicity.by_sequence_alone().alias("q_sequence")), "q_bh", digits=8)
+
+
+# --- scores against a truth -----------------------------------------------------
+
+_FAMILIES = f"""{A.TRUTH}, links as (select c.emitted_rank as a, p.emitted_rank as b from truth c join truth p on c.parent_read_name = p.read_name where c.mechanism = 'optical'), twoway as (select a, b from links union select b, a from links),
+nodes as (select distinct a as node from twoway), reach as (with recursive walk(node, seen) as (select node, node from nodes union select w.node, k.b from walk w join twoway k on k.a = w.seen) select node, min(seen) as component from walk group by 1),
+members as (select t.*, component from truth t left join reach on node = emitted_rank),
+families as (select component, count(*) - 1 as may_go, cast(sum((not stays)::int) as bigint) as hits, max(cross_tile) as crossed from members where component is not null group by 1),
+sums as (select sum(may_go) as may, sum(least(hits, may_go)) as good, sum(hits - least(hits, may_go)) as more, sum(case when crossed = 1 then may_go end) as cross_may, sum(case when crossed = 1 then least(hits, may_go) end) as cross_good from families),
+stray as (select count(*) as n, count_if(mechanism = 'polyg') as polyg from members where component is null and not stays), gone as (select count(*) as total, count_if(not stays) as removed from truth)"""
+
+
+@query(
+    f"with recursive {_FAMILIES} select total as input_read_pairs, cast(removed as bigint) as removed_read_pairs, cast(may as bigint) as true_optical_removable, cast(good as bigint) as true_positives, cast(n + more as bigint) as false_positives, cast(may - good as bigint) as false_negatives,"
+    " round(good / may, 9) as sensitivity, round((n + more) / removed, 9) as empirical_read_level_fdr, round((n + more - polyg) / removed, 9) as spatially_null_fdr, round(cross_good / cross_may, 9) as cross_tile_sensitivity, round((good - cross_good) / (may - cross_may), 9) as same_tile_sensitivity from sums, stray, gone"
+)
+def score_run(spark, sf_dir):
+    truth = A.truth_reads(spark, sf_dir)
+    found = score.score(truth.drop("stays"), truth.where("stays").select("read_name"))
+    whole = ("input_read_pairs", "removed_read_pairs", "true_optical_removable", "true_positives", "false_positives", "false_negatives")
+    shares = ("sensitivity", "empirical_read_level_fdr", "spatially_null_fdr", "cross_tile_sensitivity", "same_tile_sensitivity")
+    row = [int(found[k]) for k in whole] + [round(float(found[k]), 9) for k in shares]
+    return spark.createDataFrame([row], ", ".join([f"{k} bigint" for k in whole] + [f"{k} double" for k in shares]))
+
+
+@query(
+    f"with {A.TRUTH}, wanted as (select distinct least(read_name, parent_read_name) as a, greatest(read_name, parent_read_name) as b from truth where mechanism = 'optical'),"
+    " found as (select distinct least('r' || x.event_id, 'r' || y.event_id) as a, greatest('r' || x.event_id, 'r' || y.event_id) as b from events x join events y on x.event_type = y.event_type and y.event_id between x.event_id + 1 and x.event_id + 3) select round(count(f.a) / count(*), 9) as recall from wanted w left join found f on w.a = f.a and w.b = f.b"
+)
+def retrieval_recall(spark, sf_dir):
+    """Of the true pairs, those among the pairs of neighbouring events of one type."""
+    e = A.table(spark, sf_dir, "events").select("event_id", "event_type")
+    ahead = e.select(F.explode(F.array(*(F.col("event_id") + k for k in (1, 2, 3)))).alias("other"), "event_id", "event_type")
+    tested = ahead.join(e.select(F.col("event_id").alias("other"), "event_type"), ["other", "event_type"]).select(*(F.concat(F.lit("r"), F.col(c).cast("string")).alias(c) for c in ("event_id", "other")))
+    return spark.createDataFrame([(round(score.retrieval_recall(A.truth_reads(spark, sf_dir), tested), 9),)], "recall double")
+
+
+# --- sequence files -------------------------------------------------------------
+
+
+def _files(spark, sf_dir):
+    """The texts' reads written as two sequence files, the first compressed."""
+    reads, folder = A.sequenced(spark, sf_dir), fresh_path(spark, "fastq")
+    paths = f"{folder}/R1.fastq.GZ", f"{folder}/R2.fastq"
+    for path, mate, start, n in ((paths[0], 1, 1, A.R1), (paths[1], 2, A.R1 + 1, A.CYCLES)):
+        record = F.concat(F.lit("@"), "name", F.lit(f"/{mate} more\n"), F.substring("bases", start, n), F.lit("\n+\n"), F.substring("quals", start, n))
+        sink.write_lines(reads.select("pair_index", record.alias("value")), path, "pair_index", level=1)
+    return paths
+
+
+@query(f"with {A.SEQUENCED} select pair_index, '@' || name || '/1 more' as header, substr(bases, 1, {A.R1}) as seq, '+' as plus, substr(quals, 1, {A.R1}) as qual from sequenced")
+def fastq_records(spark, sf_dir):
+    return fastq.read_records(spark, _files(spark, sf_dir)[0])
+
+
+@query(f"with {A.SEQUENCED}, c as (select pair_index, unnest(string_split(quals, '')) as c from sequenced), q as (select pair_index, cast(sum(least(greatest(ascii(c) - 33, 0), 60)) as bigint) as quality_sum from c where c <> '' group by 1) select pair_index, name as read_name, lane, tile, x, y, bases, quals, quality_sum from sequenced join q using (pair_index)")
+def fastq_reads(spark, sf_dir):
+    """Both files read in step, checked, and turned into placed reads."""
+    return fastq.to_reads(fastq.read_pairs(spark, *_files(spark, sf_dir)))[0]
+
+
+@query(
+    f"with {A.SEQUENCED}, c as (select pair_index, unnest(string_split(quals, '')) as c from sequenced), q as (select pair_index, cast(sum(ascii(c) - 33) as bigint) as quality_score from c where c <> '' group by 1)"
+    f" select pair_index, sha256(unhex(printf('%08x', {A.R1})) || encode(substr(bases, 1, {A.R1})) || encode(substr(bases, {A.R1 + 1}))) as signature, lane || ':' || cast(tile as varchar) as location, x, y, quality_score, name as read_name from sequenced join q using (pair_index)"
+)
+def fastq_exact_reads(spark, sf_dir):
+    return fastq.to_exact_reads(fastq.read_pairs(spark, *_files(spark, sf_dir)))
+
+
+@query(f"with {A.SEQUENCED} select row_number() over (order by pair_index) - 1 as pair_index, '@' || name || '/2 more' as header, substr(bases, {A.R1 + 1}) as seq, '+' as plus, substr(quals, {A.R1 + 1}) as qual from sequenced where tile <> 1103")
+def filtered_records(spark, sf_dir):
+    """The second of two files written without the pairs of one tile, and read again."""
+    pairs = fastq.read_pairs(spark, *_files(spark, sf_dir))
+    gone = pairs.where(names.location(F.col("read_name"))["tile"] == 1103).select("pair_index")
+    folder = fresh_path(spark, "fastq")
+    sink.write_filtered(pairs, gone, f"{folder}/R1.fastq", f"{folder}/R2.fastq.gz", 1)
+    return fastq.read_records(spark, f"{folder}/R2.fastq.gz")
+
+
 @query(f"with {_P} select id, printf('%.6g', p / 7) as six, printf('%.8g', p / 7000000) as eight from tests")
 def number_texts(spark, sf_dir):
     p = A.p_values(spark, sf_dir)
@@ -566,3 +827,14 @@ def exact_removed(spark, sf_dir):
 def exact_kept(spark, sf_dir):
     reads = A.exact_reads(spark, sf_dir)
     return exact.kept_reads(reads, exact.removed_reads(reads, DISTANCE)).select("pair_index", "read_name")
+
+
+@query(
+    f"with recursive {_REMOVED}, fam as (select count(*) as families, sum(size) as members, sum(size - 1) as excess from (select signature, count(*) as size from reads group by 1 having count(*) > 1)), n as (select count(*) as total, count_if(location is null) as unparsed from reads), g as (select count(*) as gone, count(distinct representative_index) as components from removed)"
+    " select total as input_read_pairs, cast(unparsed as bigint) as unparsed_read_pairs, families as exact_families, cast(members as bigint) as exact_family_members, cast(excess as bigint) as exact_family_excess, cast(excess - gone as bigint) as exact_excess_not_removed, components as optical_components, gone as removed_read_pairs, total - gone as retained_read_pairs from fam, n, g"
+)
+def exact_report(spark, sf_dir):
+    reads = A.exact_reads(spark, sf_dir)
+    found = exact.exact_report(reads, exact.removed_reads(reads, DISTANCE), DISTANCE)
+    keys = ("input_read_pairs", "unparsed_read_pairs", "exact_families", "exact_family_members", "exact_family_excess", "exact_excess_not_removed", "optical_components", "removed_read_pairs", "retained_read_pairs")
+    return spark.createDataFrame([[int(found[k]) for k in keys]], ", ".join(f"{k} bigint" for k in keys))
