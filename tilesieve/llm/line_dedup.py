@@ -1,17 +1,17 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 A line goes if an earlier line of the corpus (by document id, then place) is
-equal to it or, for lines of ``min_chars`` characters and more, within one edit:
-one character inserted, deleted or replaced. Lines without a visible character
-always stay.
+equal to it or within ``edits`` edits (one, or none for equal lines only): a
+character inserted, deleted or replaced. ``min_chars``, 0 unless given, spares
+shorter lines from edits. Lines without a visible character always stay.
 
 Equal lines are one group from the start, counted with map-side combine, so a
 line that a third of all documents share costs no more than any other. Of the
-distinct lines most have no partner, which their halves tell: one edit leaves
+distinct lines of more than ``SHORT`` characters most have no partner, which their halves tell: one edit leaves
 the first or the last ``c`` characters alone, ``c`` being the power of two that
 both lengths share below half a line. Lines whose beginning or end occurs with
-no other line of fitting length are out, and of the others all windows of a chunk
-outside which no other line is the same. For each place in what is left that the
+no other line of fitting length are out, and of the others, where they are longer
+than a chunk, all windows of a chunk outside which no other line is the same. For each place in what is left that the
 edit can be at, a line emits its variants: the line with that character deleted
 and the line as it stands, each as a hash of what is before and what is behind
 the place. Two lines within one edit share such a key, and any two lines that
@@ -19,12 +19,14 @@ share one are within one edit, so one minimum a key finds each line's earliest
 partner and no pairs are formed. The partner is then verified by edit distance.
 
 Hashes of beginnings and ends are chained over chunks, so a variant costs a chunk
-and not the line, however long it is.
+and not the line, however long it is, and the rows of its windows carry the few chunks
+that they need.
 
 Edge cases: null texts count as empty, that is one line without visible
 characters; rows with one id and one text are one document and get the same
 result; rows with one id and different texts are different documents in an
-arbitrary but fixed order; null ids come first; an empty table gives no rows;
+arbitrary but fixed order; null ids come first; ties cannot arise between places;
+an empty table gives no rows;
 ``dedup`` keeps other columns, whatever their names.
 """
 
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 
 from tilesieve.plans.shared import materialize
 
-MIN_CHARS = 16
+MIN_CHARS = 0
+SHORT = 8  # lines that emit variants whatever their halves
 CHUNK = 64
 VISIBLE = r"{} rlike '[^\\x20\\x09-\\x0D]'"
 
@@ -59,7 +62,7 @@ def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     place, its length and the hashes of its beginnings and ends."""
     lines = docs.select("id", "version", F.posexplode(_lines_of(F.col("text"))).alias("no", "line")).where(VISIBLE.format("line"))
     n = F.char_length("line")
-    anchored = n >= max(4, min_chars)
+    anchored = n >= max(SHORT, min_chars)
     c1, c2 = _half(n - 2), _half(n - 1)
 
     def hashes(c: Column) -> Column:
@@ -76,9 +79,9 @@ def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("a1").alias("a1"), F.first("a2").alias("a2"))
 
 
-def candidates(lines: DataFrame) -> DataFrame:
+def candidates(lines: DataFrame, min_chars: int) -> DataFrame:
     """``(k1, k2, place, from_start, c)``: lines that share a beginning or an end of ``c``
-    characters with another line of the same length or one more or less."""
+    characters with another line of the same length or one more or less, and all short ones."""
     ends = F.array(
         *(
             F.when(F.col(a).isNotNull(), F.struct(F.lit(start).alias("from_start"), F.col(f"{a}.c").alias("c"), F.col(f"{a}.{h}").alias("h")))
@@ -91,7 +94,8 @@ def candidates(lines: DataFrame) -> DataFrame:
     counts = each.groupBy(*key).agg(F.count("*").alias("own"))
     near = counts.select("from_start", "c", "h", F.explode(F.array(F.struct((F.col("n") - 1).alias("n"), F.lit(0).cast("bigint").alias("own"), F.col("own").alias("all")), F.struct("n", "own", F.col("own").alias("all")), F.struct((F.col("n") + 1).alias("n"), F.lit(0).cast("bigint").alias("own"), F.col("own").alias("all")))).alias("x"))
     shared = near.select("from_start", "c", "h", "x.*").groupBy(*key).agg(F.sum("own").alias("own"), F.sum("all").alias("all")).where("own > 0 and all > 1").select(key)
-    return each.join(shared, key).select("k1", "k2", "place", "from_start", "c")
+    short = lines.where(F.col("n").between(min_chars, SHORT)).select("k1", "k2", "place", F.lit(True).alias("from_start"), F.lit(0).alias("c"))
+    return each.join(shared, key).select("k1", "k2", "place", "from_start", "c").union(short)
 
 
 def _with_chunks(lines: DataFrame) -> DataFrame:
@@ -105,43 +109,51 @@ def _with_chunks(lines: DataFrame) -> DataFrame:
     return out
 
 
-def _first(text: str, count: str, chunk: str | None = None) -> str:
-    """The hash of the first ``count`` characters, from the whole chunks before and a part."""
-    chunk = chunk or f"({count}) div {CHUNK}"
-    return f"xxhash64(get({text}_chain, cast({chunk} as int)), coalesce(left(get({text}_parts, cast({chunk} as int)), cast(({count}) - ({chunk}) * {CHUNK} as int)), ''))"
+def _first(text: str, count: str, shift: str = "0") -> str:
+    """The hash of the first ``count`` characters, from the whole chunks before and a part;
+    the arrays begin at chunk ``shift``."""
+    at = f"cast(({count}) div {CHUNK} - {shift} as int)"
+    return f"xxhash64(get({text}_chain, {at}), coalesce(left(get({text}_parts, {at}), cast(({count}) % {CHUNK} as int)), ''))"
 
 
 def windows(survivors: DataFrame) -> DataFrame:
     """``(place, w)``: the chunk-wide windows of each line outside which another line of the
-    same length, or one more or less, is the same.
+    same length, or one more or less, is the same; lines of one chunk have nothing outside.
 
     A line of n characters goes by its own length and by that of a line without the
     edit; either way what counts is all before the window and all behind it.
     """
     inside = f"if(from_start, sequence(c div {CHUNK}, n div {CHUNK}), sequence(0, (n - c) div {CHUNK}))"
-    behind = _first("back", f"greatest(0, m - (w + 1) * {CHUNK})")
-    each = _with_chunks(survivors).select("place", "n", "line_chain", "back_chain", "back_parts", F.explode(F.expr(inside)).alias("w"))
-    each = each.select("place", "w", "line_chain", "back_chain", "back_parts", F.explode(F.array("n", F.col("n") - 1)).alias("m")).withColumn("w", F.col("w").cast("int"))
+    n = F.char_length("line")
+    one = survivors.where(n <= CHUNK).select("place", F.explode(F.sequence(F.lit(0), F.floor(n / CHUNK).cast("int"))).alias("w"))
+    by_length = ", ".join(f"struct({m} as m, {_first('back', f'greatest(0, {m} - (w + 1) * {CHUNK})')} as behind)" for m in ("n", "n - 1"))
+    each = _with_chunks(survivors.where(n >= CHUNK)).select("place", F.explode(F.expr(f"transform({inside}, w -> struct(cast(w as int) as w, get(line_chain, cast(w as int)) as before, array({by_length}) as ends))")).alias("x"))
+    each = each.select("place", "x.w", "x.before", F.explode("x.ends").alias("e")).select("place", "w", "e.m", "before", "e.behind").distinct()
     key = ["w", "m", "before", "behind"]
-    each = each.select("place", "w", "m", F.expr("get(line_chain, w)").alias("before"), F.expr(behind).alias("behind")).distinct()
     shared = each.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    return each.join(shared, key).select("place", "w").distinct()
+    return each.join(shared, key).select("place", "w").union(one).distinct()
 
 
 def variants(survivors: DataFrame, wins: DataFrame) -> DataFrame:
     """``(key1, key2, place)`` for each place an edit can be at: the line without that
     character, and the line as it is."""
     lines = _with_chunks(survivors.select("place", "line").distinct())
-    each = lines.join(wins, "place").select("place", "n", "w", "line_chain", "line_parts", "back_chain", "back_parts", F.explode(F.expr(f"sequence(w * {CHUNK}, least(n, w * {CHUNK} + {CHUNK - 1}))")).alias("i"))
-    before, without, whole = _first("line", "i", "w"), _first("back", "n - 1 - i"), _first("back", "n - i")
+    by_line = wins.groupBy("place").agg(F.collect_list("w").alias("ws"))
+    # what a window's places can need of the line's end are three chunks from this one on
+    low = f"greatest(0, n - (w + 1) * {CHUNK}) div {CHUNK}"
+    part = f"struct(w, cast({low} as int) as low, get(line_chain, w) as chain, get(line_parts, w) as part, slice(back_chain, cast({low} as int) + 1, 3) as back_chain, slice(back_parts, cast({low} as int) + 1, 3) as back_parts)"
+    each = lines.join(by_line, "place").select("place", "n", F.explode(F.expr(f"transform(ws, w -> {part})")).alias("x")).select("place", "n", "x.*")
+    each = each.select("*", F.explode(F.expr(f"sequence(w * {CHUNK}, least(n, w * {CHUNK} + {CHUNK - 1}))")).alias("i"))
+    before = f"xxhash64(chain, coalesce(left(part, i - w * {CHUNK}), ''))"
+    without, whole = _first("back", "n - 1 - i", shift="low"), _first("back", "n - i", shift="low")
     each = each.select("place", "w", "i", F.expr(before).alias("before"), F.expr(f"array(if(i < n, {without}, null), {whole})").alias("behind"))
     each = each.select("place", "w", "i", "before", F.explode("behind").alias("behind")).where("behind is not null")
     return each.select(F.xxhash64("w", "i", "before", "behind").alias("key1"), F.hash("w", "i", "before", "behind").alias("key2"), "place")
 
 
-def near_partners(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def near_partners(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
     """``(k1, k2, partner)``: lines with an earlier line within one edit, and its place."""
-    found = candidates(lines)
+    found = candidates(lines, min_chars)
     wanted = found.groupBy("place.id", "place.version").agg(F.collect_list(F.struct("k1", "k2", "place", "from_start", "c")).alias("wanted"))
     same = wanted.id.eqNullSafe(docs.id) & (wanted.version == docs.version)
     each = docs.join(wanted, same).select(_lines_of(F.col("text")).alias("lines"), F.explode("wanted").alias("w"))
@@ -155,18 +167,21 @@ def near_partners(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return own.join(other, "partner").where(F.levenshtein("line", "partner_line", 1).between(0, 1)).select("k1", "k2", "partner")
 
 
-def kept_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def kept_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """``(id, version, kept)``: the places, in order, of lines that stay, blank ones aside."""
-    lines = materialize(distinct_lines(docs, min_chars), "lines")
-    stay = lines.join(near_partners(docs, lines).select("k1", "k2"), ["k1", "k2"], "left_anti")
+    lines = stay = materialize(distinct_lines(docs, min_chars), "lines")
+    if edits:
+        stay = lines.join(near_partners(docs, lines, min_chars).select("k1", "k2"), ["k1", "k2"], "left_anti")
     return stay.groupBy("place.id", "place.version").agg(F.collect_list("place.no").alias("kept"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of the input as the struct ``row``, the number of lines, the number of
     lines dropped and the text without them."""
+    if edits not in (0, 1):
+        raise ValueError("the edit bound is 0 or 1: variants of more edits than one are not hashed")
     own = _documents(docs, id_col, text_col)
-    kept = kept_lines(own, min_chars)
+    kept = kept_lines(own, edits, min_chars)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     full = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("version"), _lines_of(text).alias("lines"))
     kept = kept.select(F.col("id").alias("kept_id"), F.col("version").alias("kept_version"), "kept")

@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 
 from tilesieve.llm.license_scan import PHRASES, TEMPLATES, words_of
-from tilesieve.llm.line_dedup import MIN_CHARS
-from tilesieve.llm.quality_rules import BOILERPLATE, NAVIGATION_WORDS, Limits
+from tilesieve.llm.quality_rules import BOILERPLATE, NAVIGATION_WORDS, SENTENCE_MARK, Limits
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TEXT = "coalesce(text, '')"
@@ -56,8 +55,8 @@ OP5 = f"""with d as (select doc_id, {TEXT} as text, regexp_extract_all({TEXT}, '
 l as (select doc_id, line, regexp_extract_all(line, '{WORD}') as words from (select doc_id, unnest(string_split(text, chr(10))) as line from d)),
 own as (select doc_id, line, words, len(words) as n, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) as symbols, len(regexp_extract_all(line, '!!+')) as shouts,
   len(regexp_extract_all(line, '[|»›•]')) as bars from l where len(words) > 0),
-judged as (select *, (bars >= 3 and n - bars <= 3 * (bars + 1)) or (greatest(symbols, shouts) >= 3 and 10 * greatest(symbols, shouts) > n) or (n >= 30 and not regexp_matches(line, '[.?!:;…]'))
-  or (n <= 8 and list_has_all(string_split('{NAVIGATION_WORDS}', ' '), string_split({lowered("array_to_string(words, ' ')")}, ' '))) or regexp_matches({lowered('line')}, '{'|'.join(BOILERPLATE)}') as fails from own),
+judged as (select *, (bars >= 3 and n - bars <= 3 * (bars + 1)) or (greatest(symbols, shouts) >= 3 and 10 * greatest(symbols, shouts) > n) or (n >= 30 and not regexp_matches(line, '{SENTENCE_MARK}'))
+  or (n <= 8 and list_has_all(string_split('{NAVIGATION_WORDS}', ' '), string_split({lowered("array_to_string(words, ' ')")}, ' '))) or regexp_matches({lowered('line')}, '{'|'.join(BOILERPLATE).replace(chr(39), chr(39) * 2)}') as fails from own),
 by_line as (select doc_id, count(*) - count(distinct line) as n_dup_lines, sum(case when fails then list_sum(list_transform(words, lambda w: length(w))) else 0 end) as lost from judged group by 1),
 wins as (select doc_id, i, words[i] || chr(1) || words[i + 1] || chr(1) || words[i + 2] as w from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from d)),
 often as (select doc_id, w from wins group by 1, 2 having count(*) > 1),
@@ -92,7 +91,7 @@ select page_id, payload_bytes, payload_digest, case when first = page_id then 'r
 
 OP2 = rf"""with l as (select doc_id, generate_subscripts(parts, 1) as no, unnest(parts) as line from (select doc_id, string_split({TEXT}, chr(10)) as parts from documents)),
 d as (select line, length(line) as n, min(cast(doc_id as hugeint) * 10000000 + no) as place from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
-halves as (select line, n, place, unnest([(n - 1) // 2, (n - 2) // 2]) as c from d where n >= {MIN_CHARS}),
+halves as (select line, n, place, unnest([greatest(0, (n - 1) // 2), greatest(0, (n - 2) // 2)]) as c from d),
 ends as (select distinct line, n, place, c, 'first' as side, left(line, c) as piece from halves union select line, n, place, c, 'last', right(line, c) from halves),
 pairs as (select distinct a.line as early, b.line as late, a.n as n from ends a join ends b using (side, c, piece) where a.place < b.place and abs(a.n - b.n) <= 1),
 near as (select distinct late as line from pairs where case
