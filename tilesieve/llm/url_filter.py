@@ -14,6 +14,8 @@ with the rule's; the longest fitting rule wins. A rule given both ways blocks.
 
 Edge cases: null urls, empty urls and urls without ``://`` have an empty host
 and path and get the default verdict; repeated rows are judged each by itself;
+ties cannot arise, as two rules that fit one url differ in length; very long urls
+cost as much as the rules have labels, not as they have themselves;
 an empty table gives no rows; an empty rule list gives every url the default;
 other columns of the input are ignored, whatever their names.
 """
@@ -53,12 +55,17 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host, slash + path
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and every parent domain of it."""
-    out, at = [host], host.find(".")
-    while at >= 0:
+def suffixes(host: str, counts: list[int]) -> list[str]:
+    """The host and its parent domains of as many labels as the counts (ascending) say: so
+    many at most as rules differ in labels, however many labels a host has."""
+    out, at, labels = [], len(host), 0
+    for n in counts:
+        while labels < n and at >= 0:
+            at = host.rfind(".", 0, at)
+            labels += 1
+        if labels < n:
+            break
         out.append(host[at + 1 :])
-        at = host.find(".", at + 1)
     return out
 
 
@@ -75,7 +82,7 @@ def _sorted_strings(strings: list[bytes], digest=_digests) -> tuple[np.ndarray,
 
 
 def build_index(rules: Iterable[tuple[str, str]], digest=_digests) -> bytes:
-    """The index file of ``(rule, verdict)`` pairs: eight NumPy arrays, one after another."""
+    """The index file of ``(rule, verdict)`` pairs: ten NumPy arrays, one after another."""
     chosen: dict[str, int] = {}
     for rule, verdict in rules:
         chosen[rule] = max(chosen.get(rule, 0), VERDICTS.index(verdict))
@@ -93,6 +100,7 @@ def build_index(rules: Iterable[tuple[str, str]], digest=_digests) -> bytes:
     first[1:] = np.cumsum([len(p) for p in paths])
     rd, re_, rs, order = _sorted_strings([r.encode() for r in names], digest)
     arrays = [hd, he, np.frombuffer(hs, np.uint8), first, np.array([x for p in paths for x in p], np.int64), rd, re_, np.frombuffer(rs, np.uint8), np.array([chosen[names[i]] for i in order], np.uint8)]
+    arrays.append(np.array(sorted({h.count(".") + 1 for h in hosts}), np.int64))
     head = np.array([len(arrays)] + [a.nbytes for a in arrays], np.int64)
     out = io.BytesIO()
     out.write(head.tobytes())
@@ -102,7 +110,7 @@ def build_index(rules: Iterable[tuple[str, str]], digest=_digests) -> bytes:
     return out.getvalue()
 
 
-KINDS = (np.uint64, np.int64, np.uint8, np.int64, np.int64, np.uint64, np.int64, np.uint8, np.uint8)
+KINDS = (np.uint64, np.int64, np.uint8, np.int64, np.int64, np.uint64, np.int64, np.uint8, np.uint8, np.int64)
 
 
 class Index:
@@ -117,7 +125,8 @@ class Index:
             at += -at % 8
             arrays.append(data[at : at + int(size)].view(kind))
             at += int(size)
-        self.hosts, self.host_ends, self.host_text, self.first, self.lengths, self.rules, self.rule_ends, self.rule_text, self.verdicts = arrays
+        self.hosts, self.host_ends, self.host_text, self.first, self.lengths, self.rules, self.rule_ends, self.rule_text, self.verdicts, labels = arrays
+        self.labels = labels.tolist()
         self.digest = digest
 
     @staticmethod
@@ -134,7 +143,7 @@ class Index:
         """The winning rule and its verdict for each (host, path)."""
         asked, row = [], []
         for i, (host, _) in enumerate(places):
-            for s in suffixes(host) if host else ():
+            for s in suffixes(host, self.labels) if host else ():
                 asked.append(s.encode("utf-8", "surrogatepass"))
                 row.append(i)
         keys, owner = [], []
