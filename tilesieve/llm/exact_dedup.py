@@ -86,10 +86,10 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counte
     tagged = materialize(tagged.withColumn("row_id", F.monotonically_increasing_id()), "digests")
     winners = F.broadcast(_winners(tagged, counters))
     hot = tagged.join(winners, "digest")
-    group = Window.partitionBy("digest")
-    rest = tagged.join(winners, "digest", "left_anti").select(
-        "digest", "id", "row_id", F.max(F.struct("id", "row_id")).over(group).alias("winner"), F.count("*").over(group).alias("group_size")
-    )
+    others = tagged.join(winners, "digest", "left_anti")
+    # counted with map-side combine and joined back: no task buffers a group
+    groups = others.groupBy("digest").agg(F.max(F.struct("id", "row_id")).alias("winner"), F.count("*").alias("group_size"))
+    rest = others.join(groups, "digest").select("digest", "id", "row_id", "winner", "group_size")
     both = hot.select(rest.columns).union(rest)
     return both.select(
         F.col("id").alias(id_col),
