@@ -2,7 +2,7 @@
 
 Every line is judged by itself: a line fails for its punctuation (three symbols
 or runs of exclamation marks and more, and more than one to ten words, or thirty
-words and more without any sentence mark), as navigation (three separators and more, with three
+words and more without any sentence mark of the world's scripts), as navigation (three separators and more, with three
 words at most between two of them, or nothing but navigation words) or as
 boilerplate (one of a list of phrases). Failed lines are taken out, and a
 document that loses more than the given share of its word characters is
@@ -27,9 +27,27 @@ from pyspark.sql import DataFrame
 from tilesieve.llm.common import keyed_text, map_rows
 
 SYMBOLS = b"#*$%&|<>"
-NAVIGATION_WORDS = "home menu login logout register search contact about sitemap next previous back top more share print help faq skip to content main navigation"
+#: Words of menus, and phrases of page frames, in English, French, German and Spanish.
+NAVIGATION_WORDS = (
+    "home menu login logout register search contact about sitemap next previous back top more share print help faq skip to content main navigation "
+    "accueil connexion déconnexion inscription recherche rechercher panier plan du site suivant précédent retour haut imprimer partager aide "
+    "startseite anmelden abmelden registrieren suche suchen kontakt impressum warenkorb weiter zurück oben drucken teilen hilfe "
+    "inicio entrar salir registrarse buscar contacto carrito mapa del sitio siguiente anterior volver arriba imprimir compartir ayuda"
+)
 BOILERPLATE = (
     "all rights reserved",
+    "tous droits réservés",
+    "alle rechte vorbehalten",
+    "todos los derechos reservados",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "accepter les cookies",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "cookies akzeptieren",
+    "política de privacidad",
+    "condiciones de uso",
+    "aceptar cookies",
     "accept cookies",
     "cookie policy",
     "click here",
@@ -44,11 +62,11 @@ BOILERPLATE = (
 )
 #: The same line rules as patterns, for a word, a separator, a sentence mark and a run of exclamation marks.
 SEPARATOR = "\\||»|›|•"
-SENTENCE_MARK = "[.?!:;…]"
+SENTENCE_MARK = "[.?!:;…。！？।॥؟۔։።]"
 SHOUT = "!!+"
 
 _separator = re.compile(SEPARATOR.encode())
-_mark = re.compile("[.?!:;]|…".encode())
+_mark = re.compile("[.?!:;]|…|。|！|？|।|॥|؟|۔|։|።".encode())
 _shout = re.compile(SHOUT.encode())
 _boilerplate = re.compile("|".join(BOILERPLATE).encode())
 _navigation = frozenset(NAVIGATION_WORDS.encode().split())
