@@ -17,6 +17,7 @@ for each further one up to 0.9, else 0.
 
 Edge cases: null and empty texts have no words, no labels (an empty string) and
 score 0; repeated rows are scanned each by itself, overlapping places all count;
+where two templates fit overlapping words both give their labels;
 an empty table gives no rows; other columns are ignored, whatever their names;
 texts are scanned whole in memory proportional to the text.
 """
@@ -73,8 +74,11 @@ TEMPLATES = {
         Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any
         purpose with or without fee is hereby granted, provided that the above copyright notice and this
         permission notice appear in all copies.
-        <<beginOptional>>THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name=holder;max=12>> DISCLAIMS ALL WARRANTIES
-        WITH REGARD TO THIS SOFTWARE<<endOptional>>""",
+        THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name=holder;max=12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+        SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL
+        <<var;name=owner;max=12>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
+        TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "bsd-text": """
         Redistribution and use in source and binary forms, with or without modification, are permitted provided
         that the following conditions are met:
@@ -82,7 +86,32 @@ TEMPLATES = {
         this list of conditions and the following disclaimer.
         <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright
         notice, this list of conditions and the following disclaimer in the documentation and/or other materials
-        provided with the distribution.""",
+        provided with the distribution.
+        <<beginOptional>><<beginOptional>>3.<<endOptional>> Neither the name of <<var;name=organisation;max=12>> nor the
+        names of its contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission.<<endOptional>>
+        THIS SOFTWARE IS PROVIDED BY <<var;name=holders;max=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+        ARE DISCLAIMED. IN NO EVENT SHALL <<var;name=holder;max=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+        OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+        WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "zlib-text": """
+        This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+        held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and
+        to alter it and redistribute it freely, subject to the following restrictions:
+        <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that
+        you wrote the original software. If you use this software in a product, an acknowledgment in the product
+        documentation would be appreciated but is not required.
+        <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software.
+        <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution.""",
+    "unlicense-text": """
+        This is free and unencumbered software released into the public domain.
+        Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
+        code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 
 _table = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -187,10 +216,11 @@ def phrase_places(joined: bytes) -> list[tuple[int, str]]:
     out = []
     for phrase, label in PHRASES.items():
         key = b" " + phrase.encode() + b" "
-        at = joined.find(key)
+        at, before, blanks = joined.find(key), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
-            at = joined.find(key, at + 1)
+            blanks += joined.count(b" ", before, at)  # from the place before only
+            out.append((blanks, label))
+            before, at = at, joined.find(key, at + 1)
     return out
 
 
