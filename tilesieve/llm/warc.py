@@ -4,29 +4,33 @@ Writing. A payload's digest is its SHA-256. Of payloads that are equal and have
 at least ``least`` bytes, the row with the smallest id is a response, the others
 are revisits that refer to it. The few payloads with over a ``HEAVY``-th of all
 rows (counted with map-side combine, ``HEAVY`` of them at most) get their
-smallest id by broadcast, so their rows never meet in one task; the others are
-dealt by digest. Every record is a gzip member of its own. Spark's text writer
+smallest id by broadcast, so their rows never meet in one task; the others meet
+their digest's smallest id in a join that buffers no payload. Every record is a gzip member of its own. Spark's text writer
 writes the members, with an empty gzip member (or, uncompressed, the record end
 CR LF CR LF) where it would put line ends: valid archives on any file system,
 committed as any Spark output, so a lost executor leaves no half file.
-``records_per_file`` bounds a file, and with it what the reader holds.
+``records_per_file`` bounds the records of a file and ``BYTES_PER_FILE`` its bytes, as
+long payloads go to files of fewer records, and with them what the reader holds.
 
 Reading. Each file, plain or gzip, is parsed record by record. A record whose
 head, length, end mark, member check, block digest or payload digest is wrong is
-not trusted: the reader searches all that follows for a version line that parses
+not trusted (digests of SHA-1, SHA-2 and MD5 are checked, in hexadecimal or base 32): the reader searches all that follows for a version line that parses
 or a gzip member that inflates to one, whichever comes first, recovers what
-follows, and logs the bytes between as a quarantined gap with its reason.
+follows, and logs the bytes between as a quarantined gap with its reason. What a
+damaged member gave before the damage is read too.
 
 Edge cases: null html is an empty payload; null urls are written as urn:page
 uris; blanks and control characters in urls are percent-encoded; repeated rows
 with the smallest id are all responses, ties cannot arise otherwise; null ids
-are written without an id and read back as null; an empty table gives no files
+are written without an id and read back as null; very long payloads are records as
+any other, up to what a row can hold; an empty table gives no files
 and no rows; other columns are ignored, whatever their names. Payloads are
 written and digested whole.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -34,7 +38,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +51,7 @@ HEAVY = 512
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 1000
+BYTES_PER_FILE = 1 << 29
 EMPTY_MEMBER = gzip.compress(b"", 9, mtime=0)
 MAGIC = b"\x1f\x8b\x08"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -96,10 +101,10 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, lea
     sizes = keyed.where("long").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     heavy = F.broadcast(materialize(sizes.where(F.col("n") > max(32, keyed.count() // HEAVY)).select("digest", "first"), "heavy"))
     columns = ["id", "url", "html", "digest", F.when(F.col("long") & (F.col("id") != F.col("first")), F.col("first")).alias("refers_to")]
-    hot = rows.join(heavy, "digest").select(columns)
-    short = rows.where(~F.col("long")).withColumn("first", F.col("id")).select(columns)
-    rest = rows.where("long").join(heavy, "digest", "left_anti").withColumn("first", F.min("id").over(Window.partitionBy("digest"))).select(columns)
-    return hot.union(short).union(rest)
+    at_once = rows.join(heavy, "digest", "left").where("first is not null or not long").select(columns)
+    again = sizes.where("n > 1").select("digest", "first").join(heavy.select("digest"), "digest", "left_anti")
+    rest = rows.where("long").join(heavy, "digest", "left_anti").join(again, "digest", "left").select(columns)
+    return at_once.union(rest)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, compressed: bool = True, records_per_file: int = RECORDS_PER_FILE) -> None:
@@ -115,13 +120,39 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
         return step
 
-    rows = map_rows(plan_records(pages, id_col, url_col, html_col, least), "record binary", start)
+    size = F.octet_length(F.col(html_col).cast("string"))
+    longest = pages.agg(F.max(size)).first()[0] or 0
+    low = BYTES_PER_FILE // records_per_file
     separator = (EMPTY_MEMBER if compressed else END).decode("latin-1")
-    rows.select(F.col("record").cast("string").alias("value")).write.options(lineSep=separator, encoding="ISO-8859-1", maxRecordsPerFile=records_per_file).text(path)
+    planned = plan_records(pages, id_col, url_col, html_col, least)
+    # payloads up to 512 KB, then up to 16 times as much each time, in files of fewer records
+    bounds = [0, low]
+    while bounds[-1] < longest:
+        bounds.append(bounds[-1] * 16)
+    for k, (above, upto) in enumerate(zip(bounds, bounds[1:])):
+        own = F.octet_length("html")
+        some = planned if len(bounds) == 2 else planned.where(own <= upto if k == 0 else (own > above) & (own <= upto))
+        rows = map_rows(some, "record binary", start).select(F.col("record").cast("string").alias("value"))
+        each = records_per_file if k == 0 else max(1, BYTES_PER_FILE // upto)
+        rows.write.options(lineSep=separator, encoding="ISO-8859-1", maxRecordsPerFile=each).mode("append").text(path)
 
 
 class Damage(Exception):
-    pass
+    """A failed check; ``sound`` is what was read of a member before it."""
+
+    def __init__(self, why: str, sound: bytes = b""):
+        super().__init__(why)
+        self.sound = sound
+
+
+def differs(given: str, data: bytes) -> bool:
+    """Whether a digest field, in hexadecimal or base 32, is that of other data; kinds not known are let pass."""
+    kind, _, value = given.partition(":")
+    kind = kind.lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return False
+    own = hashlib.new(kind, data).digest()
+    return value.lower() != own.hex() and value.upper().rstrip("=") != base64.b32encode(own).decode().rstrip("=")
 
 
 def _parse(data: bytes, at: int) -> tuple[int, dict]:
@@ -150,8 +181,7 @@ def _parse(data: bytes, at: int) -> tuple[int, dict]:
     for field, key in (("x-page-id", "page_id"), ("x-refers-to-page-id", "refers_to")):
         if re.fullmatch(r"-?\d{1,19}", fields.get(field, "")):
             out[key] = int(fields[field])
-    given = fields.get("warc-block-digest", "")
-    if given.startswith("sha256:") and given[7:] != digest_of(block):
+    if differs(fields.get("warc-block-digest", ""), block):
         raise Damage("block digest differs")
     given = fields.get("warc-payload-digest", "")
     own = given[7:] if given.startswith("sha256:") else None
@@ -161,7 +191,7 @@ def _parse(data: bytes, at: int) -> tuple[int, dict]:
             raise Damage("http head without end")
         http, payload = (block[: split + 2], block[split + 4 :]) if block.startswith(b"HTTP/") else (b"", block)
         if kind == "response":
-            if own not in (None, digest_of(payload)):
+            if differs(given, payload):
                 raise Damage("payload digest differs")
             out |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": digest_of(payload)}
         else:
@@ -178,9 +208,9 @@ def _inflate(data: bytes, at: int) -> tuple[int, bytes]:
             out.append(stream.decompress(view[p : p + 65536]))
             p += 65536
     except zlib.error as e:
-        raise Damage(f"gzip: {e}") from None
+        raise Damage(f"gzip: {e}", b"".join(out)) from None
     if not stream.eof:
-        raise Damage("gzip member without end")
+        raise Damage("gzip member without end", b"".join(out))
     return min(p, len(data)) - len(stream.unused_data), b"".join(out)
 
 
@@ -221,6 +251,9 @@ def salvage(data: bytes, inside: bool = False) -> Iterator[tuple[int, int, dict
                 yield at, end, found
         except Damage as why:
             end = _next(data, at + 1, inside)
+            for _, _, found in salvage(why.sound, True):
+                if isinstance(found, dict):
+                    yield at, end, found
             yield at, end, str(why)
         at = end
 
