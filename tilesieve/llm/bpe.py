@@ -1,17 +1,17 @@
 """Byte-level BPE encoding and decoding over overlapping chunks.
 
-A text of at most ``CHUNK`` characters is one chunk. A longer one is cut into
-chunks that overlap by ``OVERLAP`` characters, which are pre-tokenised wherever
-Spark puts them, each from its own first character on. A pre-token depends on
+A text is cut into chunks of ``CHUNK`` characters that overlap by ``OVERLAP``, which are
+pre-tokenised each from its own first character on; those of a text of more than
+``SPREAD`` characters wherever Spark puts them, in larger chunks of that size. A pre-token depends on
 nothing before it, so as soon as two neighbours share a boundary in their
 overlap they agree from there on: the text's pre-tokens are the left chunk's up
 to the first shared boundary and the right one's after it. Where an overlap has
 no shared boundary (one pre-token may be as long as it likes) the two chunks are
-joined and pre-tokenised anew from the left one's last sure boundary. The pieces
-are then encoded by the ranks; decoding concatenates the tokens' raw bytes.
+joined and pre-tokenised anew from the left one's last sure boundary, and then twice
+as many each time. The pieces are then encoded by the ranks; decoding concatenates the tokens' raw bytes.
 
 Edge cases: null and empty texts have no ids and decode to nothing; repeated
-rows are encoded each by itself; null ids are kept; an empty table gives no
+rows are encoded each by itself, ties cannot arise; null ids are kept; an empty table gives no
 rows; other columns are ignored, whatever their names; strings of special tokens
 are ordinary text. Texts are encoded whole.
 """
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from tilesieve.llm.common import keyed_text, map_rows
 
-CHUNK = 1 << 16
-OVERLAP = 1 << 10
+CHUNK = 1 << 11
+OVERLAP = 1 << 7
+SPREAD = 1 << 16
 CACHE = 300_000
 AHEAD = 4  # characters after a match that the pattern may look at
 
@@ -94,7 +95,9 @@ def stitch(own: Codec, chunks: list[tuple[int, str, list[int]]]) -> list[str]:
 
     place, text, starts = chunks[0]
     low = 0  # what is to come of the left chunk, from here
-    for nxt_place, nxt_text, nxt_starts in chunks[1:]:
+    at, more = 1, 1
+    while at < len(chunks):
+        nxt_place, nxt_text, nxt_starts = chunks[at]
         # a boundary is sure where the pattern could see what follows the match before it
         sure = starts[: bisect_left(starts, len(text) - AHEAD + 1)]
         shift = nxt_place - place
@@ -103,18 +106,32 @@ def stitch(own: Codec, chunks: list[tuple[int, str, list[int]]]) -> list[str]:
         if shared is not None:
             emit(text, starts, low, shared)
             place, text, starts, low = nxt_place, nxt_text, nxt_starts, shared - shift
+            at, more = at + 1, 1
             continue
-        last = max([p for p in sure if p >= low], default=low)
+        last = max(low, sure[-1] if sure else low)
         emit(text, starts, low, last)
-        text = text[last:] + nxt_text[len(text) - shift :]
+        # twice as many chunks each time, so that one pre-token over all of them is read in linear time
+        parts, end = [text[last:]], place + len(text)
+        for p, t, _ in chunks[at : at + more]:
+            parts.append(t[end - p :])
+            end = p + len(t)
+        text = "".join(parts)
         place, starts, low = place + last, boundaries(own, text), 0
+        at, more = at + more, more * 2
     emit(text, starts, low, None)
     return out
 
 
+def pre_tokens(own: Codec, text: str, chunk: int, overlap: int) -> list[str]:
+    """A text's pre-tokens by way of its chunks."""
+    if len(text) <= chunk:
+        return own.findall(text)
+    return stitch(own, [(a, text[a:b], boundaries(own, text[a:b])) for a, b in chunk_places(len(text), chunk, overlap)])
+
+
 def _chunked(docs: DataFrame, chunk: int, overlap: int, own_codec) -> DataFrame:
     """``(key, id, k, place, text, starts)``: long texts' chunks, pre-tokenised apart."""
-    long = docs.where(F.length("text") > chunk).withColumn("key", F.struct("id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at")))
+    long = docs.withColumn("key", F.struct("id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at")))
     count = F.ceil(F.length("text") / F.lit(chunk)).cast("int")
     each = long.select("key", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"), "text")
     each = each.select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), F.col("key.at").alias("at"), "k", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})").alias("text"))
@@ -130,7 +147,7 @@ def _chunked(docs: DataFrame, chunk: int, overlap: int, own_codec) -> DataFrame:
     return map_rows(each.repartition("id", "h", "at", "k"), "id bigint, h bigint, at bigint, k int, text string, starts array<int>", start)
 
 
-def _each_text(docs: DataFrame, path: str, pattern: str, schema: str, result, id_col: str, text_col: str, chunk: int, overlap: int) -> DataFrame:
+def _each_text(docs: DataFrame, path: str, pattern: str, schema: str, result, id_col: str, text_col: str, chunk: int, overlap: int, spread: int) -> DataFrame:
     """``id`` and ``result(codec, id bytes)`` for every row."""
     frame = keyed_text(docs, id_col, text_col)
 
@@ -138,7 +155,7 @@ def _each_text(docs: DataFrame, path: str, pattern: str, schema: str, result, id
         own = codec(path, pattern)
 
         def step(ids, texts):
-            return [ids, *map(list, zip(*(result(own, own.encode(own.findall(t))) for t in texts)))]
+            return [ids, *map(list, zip(*(result(own, own.encode(pre_tokens(own, t, chunk, overlap))) for t in texts)))]
 
         return step
 
@@ -147,20 +164,20 @@ def _each_text(docs: DataFrame, path: str, pattern: str, schema: str, result, id
     def join(table: pa.Table) -> pa.Table:
         own = codec(path, pattern)
         rows = sorted(zip(table["k"].to_pylist(), table["text"].to_pylist(), table["starts"].to_pylist()))
-        found = result(own, own.encode(stitch(own, [(k * chunk, t, s) for k, t, s in rows])))
+        found = result(own, own.encode(stitch(own, [(k * spread, t, s) for k, t, s in rows])))
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip([table["id"][0].as_py(), *found], arrow)], schema=arrow)
 
-    short = map_rows(frame.where(F.length("text") <= chunk), f"id bigint, {schema}", start)
+    short = map_rows(frame.where(F.length("text") <= spread), f"id bigint, {schema}", start)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(short.schema)
-    long = _chunked(frame, chunk, overlap, lambda: codec(path, pattern)).groupBy("id", "h", "at").applyInArrow(join, short.schema)
+    long = _chunked(frame.where(F.length("text") > spread), spread, overlap, lambda: codec(path, pattern)).groupBy("id", "h", "at").applyInArrow(join, short.schema)
     return short.union(long).withColumnRenamed("id", id_col)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """``(id, ids)``."""
-    return _each_text(docs, path, pattern, "ids array<int>", lambda own, ids: (np.frombuffer(ids, "<i4"),), id_col, text_col, chunk, overlap)
+    return _each_text(docs, path, pattern, "ids array<int>", lambda own, ids: (np.frombuffer(ids, "<i4"),), id_col, text_col, chunk, overlap, spread)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -178,10 +195,10 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
     return map_rows(frame, "id bigint, bytes binary", start).withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: digests of the ids and of what they decode to."""
 
     def digests(own: Codec, ids: bytes) -> tuple:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
-    return _each_text(docs, path, pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digests, id_col, text_col, chunk, overlap)
+    return _each_text(docs, path, pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digests, id_col, text_col, chunk, overlap, spread)
