@@ -16,7 +16,9 @@ and the survivors are verified on the fingerprints. A traversal visits each
 member once and keeps one link for every member reached, so a cell gives fewer
 links than it has members, and no connection is lost.
 
-A cell of more than ``CELL`` members takes an exact way of linear size instead:
+A cell of more than ``CELL`` members is dealt on by pivots: members whose distances to
+a pivot fall in one window meet, and windows overlap by ``bits``, so that no link is
+lost. What is still larger after ``DEALS`` pivots takes an exact way of linear size:
 each member names all fingerprints one flip away and itself; members that name
 the same one differ in two bits at most, there are never more than 65 of them,
 and every two members that link name one together.
@@ -43,6 +45,8 @@ from tilesieve.plans.shared import discard, materialize
 
 PIVOTS = 32
 CELL = 8192
+DEALS = 6
+STEP = 4  # a window of pivot distances holds STEP + bits + 1 of them
 HEAVY = 1024  # fingerprints with over a HEAVY-th of all rows are looked up by broadcast: HEAVY rows at most
 
 _QUARTER = [0xFFFF << (16 * i) for i in range(4)]
@@ -82,11 +86,9 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = 3, car
     return materialize(frame.withColumn("row_id", F.monotonically_increasing_id()), "prints")
 
 
-def cell_links(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that connect the members (distinct, unsigned) of a cell as all its links do."""
-    if len(members) == 2:
-        a, b = members.tolist()
-        return [(a, b)] if (a ^ b).bit_count() <= bits else []
+def cell_links(members: np.ndarray, bits: int, tally: dict | None = None) -> list[tuple[int, int]]:
+    """Links that connect the members (distinct, unsigned) of a cell as all its links do;
+    ``tally`` counts the pairs that pivots discard and those that are verified."""
     pivots = np.bitwise_count(members[:, None] ^ _PIVOTS[None, :]).astype(np.int8)
     order = np.argsort(pivots[:, 0], kind="stable")
     members, pivots = members[order], pivots[order]
@@ -104,7 +106,11 @@ def cell_links(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
             u = todo.pop()
             near = low[u] + np.flatnonzero(open_[low[u] : high[u]])
             if len(near):
-                near = near[np.abs(pivots[near] - pivots[u]).max(axis=1) <= bits]
+                stay = np.abs(pivots[near] - pivots[u]).max(axis=1) <= bits
+                if tally is not None:
+                    for what, n in (("discarded", int((~stay).sum())), ("verified", int(stay.sum()))):
+                        tally[what] = tally.get(what, 0) + n
+                near = near[stay]
                 near = near[np.bitwise_count(members[near] ^ members[u]) <= bits]
                 open_[near] = False
                 todo += near.tolist()
@@ -157,17 +163,35 @@ def _large_cells(cells: DataFrame) -> DataFrame:
     return groups.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a != b").distinct()
 
 
+def _dealt_by_pivot(cells: DataFrame, bits: int, k: int) -> DataFrame:
+    """The cells dealt into overlapping windows of their members' distances to pivot ``k``."""
+    d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(_PIVOTS[k])))))
+    last = F.floor(d / STEP).cast("int")
+    # window w holds the distances from w * STEP to (w + 1) * STEP + bits - 1
+    first = F.greatest(F.lit(0), F.floor((d - bits) / STEP).cast("int"))
+    dealt = cells.select("fp", "band", F.col("cell").alias("c_"), F.explode(F.sequence(first, last)).alias("w_"))
+    return dealt.select("fp", "band", F.xxhash64("c_", "w_", F.lit(k)).alias("cell"))
+
+
+def _sized(cells: DataFrame) -> DataFrame:
+    sizes = cells.groupBy("band", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    return materialize(cells.join(sizes, ["band", "cell"]), "cells")
+
+
 def links(nodes: DataFrame, bits: int = 2, cell: int = CELL) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints (column ``fp``) with the components of all links."""
     if bits > 2:
         raise ValueError("cells of two equal quarters find links of two bits at most")
     keyed = nodes.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("cell")) for i, m in enumerate(_MASKS)))).alias("k")).select("fp", "k.band", "k.cell")
-    sizes = keyed.groupBy("band", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    cells = materialize(keyed.join(sizes, ["band", "cell"]), "cells")
+    cells = _sized(keyed)
     found = _small_cells(cells.where(F.col("n") <= cell), bits)
-    if cells.where(F.col("n") > cell).limit(1).count():
-        found = found.union(_large_cells(cells.where(F.col("n") > cell)))
-    return found
+    for k in range(DEALS):
+        large = cells.where(F.col("n") > cell).select("fp", "band", "cell")
+        if not large.limit(1).count():
+            return found
+        cells = _sized(_dealt_by_pivot(large, bits, k))
+        found = found.union(_small_cells(cells.where(F.col("n") <= cell), bits))
+    return found.union(_large_cells(cells.where(F.col("n") > cell)))
 
 
 def classes(prints: DataFrame, bits: int = 2, cell: int = CELL) -> DataFrame:
