@@ -11,8 +11,9 @@ where the pairwise part is computed in time linear in the features by
 
 Training uses at most ``SAMPLE`` labelled rows, those with the smallest hashes
 of their ids; rows whose CRC-32 of the id as text is divisible by five are held
-out. Only the sample's features come to the driver, and one model of 2.4 MB goes
-to the executors; scoring reads every text whole.
+out. Only the sample's features come to the driver, of a text the statistics and its
+``WIDTH`` strongest words (33 KB a row at most), and one model of 2.4 MB goes to the
+executors; scoring reads every text whole and all its words.
 
 Edge cases: null and empty texts are texts without words and get a score as any
 other; of repeated labels of an id the smallest counts, of repeated rows with
@@ -25,8 +26,6 @@ ids are not held out; an empty table gives no rows; extra columns pass through
 from __future__ import annotations
 
 import math
-import re
-import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -41,20 +40,21 @@ from tilesieve.llm.common import keyed_text, map_rows
 BUCKETS = 1 << 16
 FACTORS = 8
 SAMPLE = 4000
+WIDTH = 4096  # features of a training row
 THRESHOLD = 0.3
 STATS = 17  # the first features; hashed words come after them
 
 _word_table = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-_ascii_capitals = bytes(range(65, 91))
-_wide_capitals = re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isupper()) + "]+")
+_ascii, _ascii_capitals = bytes(range(128)), bytes(range(65, 91))
 
 
 def upper_case(text: str, data: bytes) -> int:
     """How many characters of the whole text are upper-case; ``data`` is the text in UTF-8."""
     n = len(data) - len(data.translate(None, _ascii_capitals))
-    return n if text.isascii() else n + sum(map(len, _wide_capitals.findall(text)))
+    # what is left without ASCII is whole characters, few in most texts
+    return n if text.isascii() else n + sum(map(str.isupper, data.translate(None, _ascii).decode()))
 
 
 def structure(text: str, data: bytes, tokens: list[bytes], counts: Counter) -> list[float]:
@@ -106,6 +106,14 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.arange(STATS, dtype=np.int32), index]), np.concatenate([np.array(stats, np.float32), value])
 
 
+def strongest(index: np.ndarray, value: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The statistics and the words of the largest values, ``width`` features at most."""
+    if len(index) <= width:
+        return index, value
+    keep = np.sort(np.concatenate([np.arange(STATS), STATS + np.argsort(-value[STATS:], kind="stable")[: width - STATS]]))
+    return index[keep], value[keep]
+
+
 @dataclass
 class Model:
     bias: float
@@ -175,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def start():
         def step(ids, given, texts):
-            found = [features(t) for t in texts]
+            found = [strongest(*features(t)) for t in texts]
             return [ids, given, [f[0] for f in found], [f[1] for f in found]]
 
         return step
