@@ -106,7 +106,7 @@ def one_edit(a, b):
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def lines_plain(docs, least=16):
+def lines_plain(docs, least=0):
     seen, out = [], {}
     for key, text in docs:
         stay = []
@@ -121,9 +121,10 @@ def lines_plain(docs, least=16):
     return out
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("least", [0, 16])
+def test_line_dedup(spark, least):
     r = random.Random(7)
-    base = ["".join(r.choice("abcdé z") for _ in range(r.choice([3, 15, 16, 17, 63, 64, 65, 128, 129, 300]))) for _ in range(40)]
+    base = ["".join(r.choice("abcdé z") for _ in range(r.choice([1, 2, 3, 5, 7, 8, 9, 15, 16, 17, 63, 64, 65, 128, 129, 300]))) for _ in range(40)]
 
     def edited(s):
         p, c = r.randrange(len(s) + 1), r.choice("abcdé z")
@@ -132,8 +133,8 @@ def test_line_dedup(spark):
     texts = ["\n".join(edited(r.choice(base)) if r.random() < 0.5 else r.choice(base) for _ in range(r.randrange(7))) for _ in range(90)]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(500, None, "x"), (501, "same\nsame", None)]
     docs = spark.createDataFrame([*rows, rows[-1]], "doc_id bigint, text string, lines string")
-    got = line_dedup.dedup(docs).select("row.doc_id", "row.lines", "n_lines", "n_dropped", "text").collect()
-    want = lines_plain([x[:2] for x in rows])
+    got = line_dedup.dedup(docs, min_chars=least).select("row.doc_id", "row.lines", "n_lines", "n_dropped", "text").collect()
+    want = lines_plain([x[:2] for x in rows], least)
     assert len(got) == len(rows) + 1
     for x in got:
         assert x.text == want[x.doc_id], x.doc_id
