@@ -6,7 +6,8 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from tests.llm.test_text_operators import classes_plain, fingerprint_plain, lower, prose  # noqa: E402
+from tests.llm.test_similar import kept_plain  # noqa: E402
+from tests.llm.test_text_operators import lower, prose  # noqa: E402
 from tilesieve.llm import packing, quality_fm, quality_rules  # noqa: E402
 
 
@@ -34,7 +35,7 @@ def test_stages(spark, corpus):
         assert before == plain, name
         docs = corpus_pipeline.materialize(stage(spark, docs, corpus), name)
         if number == 5:
-            found = {i: quality_rules.measure(t or "") for i, t in plain.items()}
+            found = {i: quality_rules.measure(t or "", quality_rules.Limits(min_words=1)) for i, t in plain.items()}
             plain = {i: f[7] for i, f in found.items() if f[6]}
         elif number == 10:
             model = quality_fm.fit(spark.read.parquet(f"{corpus}/documents.parquet"), spark.read.parquet(f"{corpus}/labels.parquet"))
@@ -43,9 +44,8 @@ def test_stages(spark, corpus):
         elif number == 4:
             plain = {i: t for i, t in plain.items() if i == max(k for k, o in plain.items() if lower(o) == lower(t))}
         elif number == 9:
-            prints = {i: fingerprint_plain(t) for i, t in plain.items()}
-            cls = classes_plain(list(prints.values()))
-            plain = {i: t for i, t in plain.items() if i == min(k for k in plain if cls[prints[k]] == cls[prints[i]])}
+            stay = kept_plain(plain)
+            plain = {i: t for i, t in plain.items() if i in stay}
         if number != 1:
             assert docs.columns == columns
     own = packing.Encoder(corpus_pipeline.vocabulary("byte_bpe_50k.json"))
@@ -60,3 +60,18 @@ def test_stages(spark, corpus):
 def test_run_is_the_stages(spark, corpus):
     rows = corpus_pipeline.run(spark, corpus).collect()
     assert len({r.doc_id for r in rows}) >= 100 and set(rows[0].asDict()) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+
+
+def test_odd_rows_pass_every_stage(spark, corpus):
+    """Null and repeated ids, clashing names, long texts and empty tables."""
+    long = "\n".join(prose(99, 400, 60))
+    rows = [(None, "\n".join(prose(1, 6, 30)), "x", 1, b"a"), (None, None, None, None, None), (5, long, "x", 2, b"b"), (5, long, "x", 2, b"b"), (6, "", "x", 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row string, id int, digest binary")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialize(stage(spark, docs, corpus), name)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), corpus).count() == 0
+        docs = out
+    packed = corpus_pipeline.pack(spark, docs, corpus).collect()
+    assert {r.doc_id for r in packed} <= {None, 5}
+    assert corpus_pipeline.pack(spark, docs.limit(0), corpus).count() == 0
