@@ -176,7 +176,7 @@ def _groups(batches, columns: int):
         yield key, [sum((h[i] for h in held), []) for i in range(len(held[0]))]
 
 
-def _block_jobs(members: DataFrame, key: str, blocks) -> DataFrame:
+def _block_jobs(members: DataFrame, blocks) -> DataFrame:
     """``members`` with ``i, j``: a row for each pair of blocks that the member's own is in.
 
     ``blocks`` is the number of blocks of the member's group; a block is a hash of the node.
@@ -231,9 +231,13 @@ def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
     """``(a, b)``: pairs within cells that connect all that can link. ``nodes``: ``node, n, print, head``."""
     index = nodes.select("node", F.explode("head").alias("s"))
     sizes = index.groupBy("s").agg(F.count("*").alias("size")).where("size > 1")
-    cells = materialize(index.join(sizes, "s"), "cells")
-    members = cells.join(nodes.select("node", "n", "print"), "node").select("s", "node", "n", "print", "size")
-    jobs = _block_jobs(members, "s", F.ceil(F.col("size") / CELL)).select("s", "i", "j", "node", "n", "print")
+    cells = materialize(index.join(sizes, "s").select("s", "node", "size"), "cells")
+    # near copies share most of their first shingles: cells of the same members are looked at once
+    alike = cells.where(F.col("size") <= CELL).groupBy("s").agg(F.array_sort(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
+    small = alike.select(F.xxhash64("nodes").alias("s"), F.explode("nodes").alias("node"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    large = cells.where(F.col("size") > CELL)
+    large = _block_jobs(large, F.ceil(F.col("size") / CELL)).select("s", "node", "i", "j")
+    jobs = small.union(large).join(nodes.select("node", "n", "print"), "node").select("s", "i", "j", "node", "n", "print")
 
     def run(batches):
         for _, (node, n, prints) in _groups(batches, 3):
@@ -256,7 +260,7 @@ def links(nodes: DataFrame, texts: DataFrame, size: int, num: int, den: int) ->
     totals = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     members = sized.join(totals, "component").select("component", "node", "blocks")
     held = members.join(texts.select(F.col("row_id").alias("node"), "text"), "node")
-    jobs = _block_jobs(held, "component", F.col("blocks")).select("component", "i", "j", "node", "text")
+    jobs = _block_jobs(held, F.col("blocks")).select("component", "i", "j", "node", "text")
 
     def run(batches):
         for _, (node, text) in _groups(batches, 3):
