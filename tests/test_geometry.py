@@ -48,7 +48,9 @@ def test_counts_within(metric, n):
 
 
 @pytest.mark.parametrize("neighborhood", ["same-tile", "adjacent", "lane"])
-def test_neighbour_counts(spark, neighborhood):
+@pytest.mark.parametrize("queries", [1_000_000, 7])
+def test_neighbour_counts(spark, neighborhood, queries, monkeypatch):
+    monkeypatch.setattr(spatial, "QUERIES", queries)
     random = np.random.default_rng(3)
     rows = [(i, random.choice(["A", "B"]).item(), int(random.choice([1101, 1102, 1103, 1201])), int(random.integers(0, 100)), int(random.integers(0, 80))) for i in range(300)]
     reads = spark.createDataFrame(rows, "pair_index bigint, lane string, tile int, x int, y int")
@@ -109,3 +111,25 @@ def test_pairs_within(metric, same, n):
     want = [(d <= r).sum() for r in radii]
     want = [(w - n) // 2 for w in want] if same else want
     assert spatial.pairs_within(*a.T, *b.T, radii, same, metric).tolist() == want
+
+
+@pytest.mark.parametrize("metric", ["chebyshev", "euclidean"])
+@pytest.mark.parametrize("block", [250_000, 9])
+def test_pair_distance_counts(spark, metric, block, monkeypatch):
+    """All testable pairs once, also where tiles are dealt into blocks."""
+    monkeypatch.setattr(spatial, "PAIR_BLOCK", block)
+    random = np.random.default_rng(6)
+    rows = [(i, random.choice(["A", "B"]).item(), int(random.choice([1101, 1102, 1104])), int(random.integers(0, 60)), int(random.integers(0, 60))) for i in range(160)]
+    reads = spark.createDataFrame(rows, "pair_index bigint, lane string, tile int, x int, y int")
+    convention = geometry.tile_convention(reads.select("tile").distinct())
+    layout = geometry.tile_layout(reads, convention)
+    placed = geometry.place_reads(reads, layout, geometry.measure_frame(reads, layout, convention))
+    radii = spark.createDataFrame([(lane, 1, float(r)) for lane in "AB" for r in (0, 3, 20, 200)], "lane string, surface int, radius double")
+    got = {(r.lane, r.radius): r.pairs for r in spatial.pair_distance_counts(placed, radii, "adjacent", 1, metric).collect()}
+    points = placed.collect()
+    for lane in "AB":
+        own = [p for p in points if p.lane == lane]
+        pairs = [(a, b) for i, a in enumerate(own) for b in own[:i] if max(abs(a.col - b.col), abs(a.row - b.row)) <= 1]
+        for r in (0.0, 3.0, 20.0, 200.0):
+            d = [max(abs(a.gx - b.gx), abs(a.gy - b.gy)) if metric == "chebyshev" else np.hypot(a.gx - b.gx, a.gy - b.gy) for a, b in pairs]
+            assert got[lane, r] == sum(x <= r for x in d)

@@ -30,6 +30,7 @@ def test_bh_by_and_permutation(spark):
     tests = frame(spark, p)
     assert np.allclose(by_id(multiplicity.bh_q(tests), "q_bh"), bh(p))
     assert np.allclose(by_id(multiplicity.by_q(tests), "q_by"), np.minimum(1, bh(p) * (1 / np.arange(1, 501)).sum()))
+    assert np.allclose(by_id(multiplicity.by_from_bh(multiplicity.bh_q(tests)), "q_by"), by_id(multiplicity.by_q(tests), "q_by"))
     other = np.round(random.random((3, 500)), 2)
     permuted = spark.createDataFrame([(k, float(x)) for k in range(3) for x in other[k]], "replicate int, p double")
     rate = np.array([min(1, (other <= t).sum() / 3 / (p <= t).sum()) for t in p])
@@ -128,8 +129,12 @@ def test_seed_length():
     assert candidates.choose_seed_length([0.05] * 180, 40_000, 20, False).selected == 20
 
 
+@pytest.mark.parametrize("hub", [1024, 3])
 @pytest.mark.parametrize("shape", ["path", "random", "stars", "none"])
-def test_components(spark, shape):
+def test_components(spark, shape, hub, monkeypatch):
+    from tilesieve.operators import components
+
+    monkeypatch.setattr(components, "LEAST", hub)
     random = np.random.default_rng(2)
     edges = {"path": [(i, i + 1) for i in range(80)], "random": random.integers(0, 300, (200, 2)).tolist(), "stars": [(k, 1000 + i) for k in range(3) for i in range(k, 60, 3)], "none": []}[shape]
     parent = {}
@@ -156,3 +161,38 @@ def test_candidates_limits(spark):
     with pytest.raises(MemoryError):
         candidates.check_candidates(17, 16, details)
     assert candidates.candidate_pairs(reads, 8, 8, 8, max_bucket=9, min_entropy=1.0)[1]["skipped_low_complexity_seed_buckets"] == 2
+
+
+def test_shared_folder_is_demanded_on_a_cluster():
+    """Without the setting only a local session gets a folder of its own."""
+    from types import SimpleNamespace
+
+    from tilesieve.plans.shared import shared_dir
+
+    def session(master, given=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: given), sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(session("local[2]")).startswith("file://")
+
+
+def test_simulator_draws_by_cluster(spark):
+    """Clusters are the same whatever the partitioning; kinds and rates are the scenario's."""
+    from tilesieve.sim.simulate import Scenario, clusters, quality_levels
+
+    s = Scenario(reads=2000, seed=5)
+    rows = {r.id: r for r in clusters(spark, s).collect()}
+    assert len(rows) == 2000 and len({r.name for r in rows.values()}) == 2000
+    kinds = {k: sum(r.mechanism == k for r in rows.values()) for k in ("optical", "pcr", "polyg", "unique")}
+    assert kinds == s.counts()
+    for r in rows.values():
+        if r.mechanism == "optical":
+            p = rows[r.parent]
+            assert p.mechanism == "unique" and r.molecule == r.parent and abs(p.tile - r.tile) == r.cross_tile and p.slot == r.slot
+    crossing = sum(r.cross_tile for r in rows.values()) / kinds["optical"]
+    assert 0.05 < crossing < 0.35
+    level = quality_levels(Scenario(bad_tail_cycles=10, bad_tail_quality=8))
+    assert level[0] == 35 and abs(level[-1] - 8) < 1e-9 and set(quality_levels(Scenario(flat_quality=13))) == {13}

@@ -4,7 +4,9 @@ Alternating large-star and small-star rounds (Kiveris et al., "Connected
 Components in MapReduce and Beyond"): every round is two aggregations with
 map-side combine and two equi joins, the edge table never grows, and the number
 of rounds is logarithmic in practice even for long chains. Nothing is gathered
-on the driver but one row of checksums a round.
+on the driver but one row of checksums a round. Nodes with over a ``HEAVY``-th of all
+edges (twice ``HEAVY`` of them at most) get their minimum by broadcast, so a hub's
+edges never meet in one task.
 """
 
 from __future__ import annotations
@@ -24,15 +26,29 @@ def _settled_form(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (seen.get["edges"], seen.get["hashes"])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+HEAVY = 512
+LEAST = 1024  # edges that a node needs to be a hub
+
+
+def _with_lowest(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """Each edge with its node's row of ``low`` (``u, m`` and the node's edges ``n``)."""
+    least = max(LEAST, total // HEAVY)
+    if total <= least:
+        return edges.join(low.drop("n"), "u")
+    hubs = F.broadcast(low.where(F.col("n") > least).drop("n"))
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(low.where(F.col("n") <= least).drop("n"), "u")
+    return edges.join(hubs, "u").union(others)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return _with_lowest(both, low, total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(low, "u").select(
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return _with_lowest(edges, low, total).select(
         F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
     ).select("e.u", "e.v").where("u != v").distinct()
 
@@ -48,7 +64,7 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        after, now = _settled_form(_small_star(_large_star(e)))
+        after, now = _settled_form(_small_star(_large_star(e, seen[0]), seen[0]))
         discard(e)
         e = after
         if now == seen:

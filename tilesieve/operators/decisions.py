@@ -70,6 +70,9 @@ def sensitivity(tests: DataFrame, methods: dict[str, str], thresholds: tuple[flo
     hit = F.array(*(F.when(F.col(methods[name]) <= t, F.lit(i)) for i, (t, name) in enumerate(cases)))
     calls = tests.where("l is not null and r is not null").select("l", "r", F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("case"))
     calls = materialize(calls, "cases")
+    last = calls.agg(F.max(F.greatest("l", "r")), F.min(F.least("l", "r"))).first()
+    if last[0] is not None and (last[0] >= 1 << 40 or last[1] < 0):
+        raise ValueError("read numbers must be within 0 and 2**40")
     high = F.shiftleft(F.col("case").cast("bigint"), 40)
     parts = connected_components(calls.select((F.col("l") + high).alias("l"), (F.col("r") + high).alias("r")), "l", "r")
     sizes = parts.groupBy(F.shiftright("node", 40).alias("case")).agg(F.count("*").alias("nodes"), F.count_if(F.col("node") == F.col("component")).alias("components"))

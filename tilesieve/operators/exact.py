@@ -8,10 +8,11 @@ best of them stays.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilesieve.operators.components import connected_components
+from tilesieve.plans.shared import materialize
 
 
 def exact_families(reads: DataFrame) -> DataFrame:
@@ -80,10 +81,10 @@ def removed_reads(reads: DataFrame, distance: int) -> DataFrame:
     ``pair_index, read_name, representative_index, representative_name, location, x, y,
     representative_x, representative_y, delta_x, delta_y, chebyshev_distance, component_size``.
     """
-    members = proximity_components(reads, distance).join(reads, "pair_index")
-    group = Window.partitionBy("component")
-    best = F.max(F.struct("quality_score", (-F.col("pair_index")).alias("first"), "read_name", "x", "y")).over(group)
-    rows = members.select("pair_index", "read_name", "location", "x", "y", best.alias("best"), F.count("*").over(group).alias("component_size"))
+    members = materialize(proximity_components(reads, distance).join(reads, "pair_index"), "members")
+    # the best is found with map-side combine and joined back: no task buffers a component
+    best = F.max(F.struct("quality_score", (-F.col("pair_index")).alias("first"), "read_name", "x", "y"))
+    rows = members.join(members.groupBy("component").agg(best.alias("best"), F.count("*").alias("component_size")), "component")
     return rows.where("pair_index != -best.first").select(
         "pair_index",
         "read_name",

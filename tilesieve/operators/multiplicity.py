@@ -7,16 +7,17 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilesieve.plans.ordered import Ordered
+from tilesieve.plans.shared import materialize
 
 
 def harmonic(n: int) -> float:
     """1 + 1/2 + ... + 1/n; beyond a million terms by its expansion, good to the last digit."""
-    import numpy as np
-
     if n <= 1_000_000:
         return float(np.sum(1.0 / np.arange(1, n + 1))) if n else 0.0
     return float(np.log(n) + np.euler_gamma + 1 / (2 * n) - 1 / (12 * n * n))
@@ -35,6 +36,11 @@ def by_q(tests: DataFrame, p: str = "p", id_col: str = "id", name: str = "q_by")
     return bh_q(tests, p, id_col, name, harmonic(tests.count()))
 
 
+def by_from_bh(tests: DataFrame, bh: str = "q_bh", name: str = "q_by") -> DataFrame:
+    """Benjamini-Yekutieli from the Benjamini-Hochberg q-values, without ordering again."""
+    return tests.withColumn(name, F.least(F.lit(1.0), F.col(bh) * harmonic(tests.count())))
+
+
 def weighted_bh_q(tests: DataFrame, p: str = "p", posterior: str = "posterior", compatibility: str = "compatibility_p", id_col: str = "id", name: str = "q_weighted_bh") -> DataFrame:
     """BH of p / w, w the posterior times the root of the compatibility, with mean 1 (WIN-3).
 
@@ -79,35 +85,48 @@ def empirical_cdf(tests: DataFrame, p: str = "p") -> DataFrame:
     return counts.running("sum", "n_", "cdf_").result().select("p", (F.col("cdf_") / n).alias("cdf"))
 
 
+def _majorant(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the vertices of the least concave majorant of points in the order of x."""
+    kept: list[int] = []
+    for i in range(len(x)):
+        # the last vertex goes while it is not above the line from the one before it to this point
+        while len(kept) > 1 and (y[kept[-1]] - y[kept[-2]]) * (x[i] - x[kept[-2]]) <= (y[i] - y[kept[-2]]) * (x[kept[-1]] - x[kept[-2]]):
+            kept.pop()
+        kept.append(i)
+    return np.array(kept, int)
+
+
 def grenander(cdf: DataFrame) -> DataFrame:
     """``(low, high, density)``: the decreasing density whose integral is the least concave
     majorant of the CDF from (0, 0) to (1, 1) (ST-1).
 
-    The majorant's slopes are the decreasing isotonic regression of the raw slopes,
-    weighted by their widths; MLlib pools blocks within partitions first, which
-    leaves few values to pool at the end.
+    Ranges of the order give their own vertices, and the majorant of those is the majorant
+    of all: only vertices meet in a task. As its slopes fall, the slope at a point is the
+    least of the vertices' up to it.
     """
-    from pyspark.ml.regression import IsotonicRegression
+    from pyspark.sql import Window
 
     spark = cdf.sparkSession
     ends = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "p double, cdf double")
-    points = cdf.unionByName(ends).groupBy("p").agg(F.max("cdf").alias("cdf"))
-    order = Ordered(points, "p").running("max", F.col("p"), "p_").df
-    # the point before is in the same bucket or is the last of an earlier one
-    last = order.groupBy("bucket").agg(F.max_by(F.struct("p", "cdf"), "p").alias("end")).orderBy("bucket").collect()
-    before = [(b.bucket, a.end.p, a.end.cdf) for a, b in zip(last, last[1:])]
-    from pyspark.sql import Window
+    points = Ordered(cdf.unionByName(ends).groupBy("p").agg(F.max("cdf").alias("cdf")), "p")
 
-    within = Window.partitionBy("bucket").orderBy("p")
-    edge = F.broadcast(spark.createDataFrame(before, "bucket int, p0_ double, c0_ double"))
-    steps = order.join(edge, "bucket", "left").select(
-        F.coalesce(F.lag("p").over(within), "p0_").alias("low"), F.col("p").alias("high"), F.coalesce(F.lag("cdf").over(within), "c0_").alias("c_"), "cdf"
-    ).where("low is not null and high > low")
-    steps = steps.select("low", "high", ((F.col("cdf") - F.col("c_")) / (F.col("high") - F.col("low"))).alias("slope"), (F.col("high") - F.col("low")).alias("width"))
-    steps = steps.persist()
-    model = IsotonicRegression(isotonic=False, featuresCol="low", labelCol="slope", weightCol="width", predictionCol="density").fit(steps)
-    out = model.transform(steps).select("low", "high", "density")
-    return out
+    def vertices(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("p")
+        return part.iloc[_majorant(part.p.to_numpy(), part.cdf.to_numpy())][["p", "cdf"]]
+
+    def slopes(part: pd.DataFrame) -> pd.DataFrame:
+        part = vertices(part)
+        x, y = part.p.to_numpy(), part.cdf.to_numpy()
+        return pd.DataFrame({"p": x[:-1], "slope": np.diff(y) / np.diff(x)})
+
+    found = points.df.groupBy("bucket").applyInPandas(vertices, "p double, cdf double").withColumn("all", F.lit(0))
+    lines = found.groupBy("all").applyInPandas(slopes, "p double, slope double")
+    order = Ordered(points.df.drop("bucket").join(lines, "p", "left"), "p").running("min", "slope", "density")
+    # the next point is in the same bucket or is the first of a later one
+    first = sorted(order.df.groupBy("bucket").agg(F.min("p").alias("p")).collect())
+    after = F.broadcast(spark.createDataFrame([(x.bucket, y.p) for x, y in zip(first, first[1:])], "bucket int, next_ double"))
+    ahead = F.lead("p").over(Window.partitionBy("bucket").orderBy("p"))
+    return order.df.join(after, "bucket", "left").select(F.col("p").alias("low"), F.coalesce(ahead, "next_").alias("high"), "density").where("high is not null")
 
 
 def local_fdr(tests: DataFrame, lam: float = 0.5, p: str = "p", id_col: str = "id", name: str = "local_fdr") -> tuple[DataFrame, Mixture]:
@@ -123,7 +142,7 @@ def local_fdr(tests: DataFrame, lam: float = 0.5, p: str = "p", id_col: str = "i
     lam = min(0.95, max(0.05, lam))
     row = tests.agg(F.count_if(clipped >= 1.0), F.count_if(clipped > lam)).first()
     values = tests.select(clipped.alias("p"))
-    density = grenander(empirical_cdf(values, "p"))
+    density = materialize(grenander(empirical_cdf(values, "p")), "density")
     at_one = density.agg(F.max_by("density", "low")).first()[0]
     at_one = 1.0 if at_one is None else at_one
     storey = min(1.0, row[1] / ((1 - lam) * n))

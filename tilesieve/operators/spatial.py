@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 
 from tilesieve.operators.geometry import Frame, tile_counts, tile_pairs
 from tilesieve.plans.ordered import Ordered
+from tilesieve.plans.shared import materialize
+
+QUERIES = 1_000_000
+PAIR_BLOCK = 250_000
 
 
 def both_directions(edges: DataFrame, extra: list[str]) -> DataFrame:
@@ -138,8 +142,8 @@ def neighbour_counts(points: DataFrame, queries: DataFrame, ids: list[str], fram
     ``points``: ``lane, surface, col, row, gx, gy``; ``queries`` the same and
     ``radius``, told apart by ``ids``. Counted in the query's own tile if only that
     is testable, else in the lane and surface. A query goes to every tile that its
-    range touches, so a task holds one tile's coordinates and never a lane's; the
-    counts of its tiles are then summed.
+    range touches, so a task holds one tile's coordinates and never a lane's, and about
+    ``QUERIES`` queries; the counts of its tiles are then summed.
     """
     place = ["lane", "surface", "col", "row"]
     if neighborhood == "same-tile":
@@ -152,6 +156,10 @@ def neighbour_counts(points: DataFrame, queries: DataFrame, ids: list[str], fram
 
         sent = queries.select(*ids, "lane", "surface", F.explode(touched("gx", frame.cell_x, frame.columns - 1)).alias("col"), "row", "gx", "gy", "radius")
         sent = sent.select(*ids, "lane", "surface", "col", F.explode(touched("gy", frame.cell_y, frame.rows - 1)).alias("row"), "gx", "gy", "radius")
+    # a tile's queries are dealt into parts, each of which meets the tile's points in a task of its own
+    sent = materialize(sent, "asked")
+    parts = F.broadcast(sent.groupBy(*place).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))
+    sent = sent.join(parts, place).withColumn("part", F.pmod(F.xxhash64(*ids), F.col("parts")).cast("int")).drop("parts")
     out = T.StructType([*(f for f in queries.schema.fields if f.name in ids), T.StructField("found", T.LongType())])
     names = [f.name for f in out.fields[:-1]]
 
@@ -160,9 +168,9 @@ def neighbour_counts(points: DataFrame, queries: DataFrame, ids: list[str], fram
         found = counts_within(own.px.to_numpy(float), own.py.to_numpy(float), asked_x, asked_y, r, metric) if len(own) and len(asked) else np.zeros(len(asked), np.int64)
         return asked[names].assign(found=found)
 
-    own_place = [f"p_{c}" for c in place]
-    own = points.select(*(F.col(c).alias(f"p_{c}") for c in place), F.col("gx").alias("px"), F.col("gy").alias("py"))
-    each = own.groupBy(*own_place).cogroup(sent.groupBy(*place)).applyInPandas(count, out)
+    own = points.join(parts, place).select(*(F.col(c).alias(f"p_{c}") for c in place), F.col("gx").alias("px"), F.col("gy").alias("py"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p_part"))
+    own_place = [f"p_{c}" for c in (*place, "part")]
+    each = own.groupBy(*own_place).cogroup(sent.groupBy(*place, "part")).applyInPandas(count, out)
     total = each.groupBy(*names).agg(F.sum("found").alias("found"))
     return queries.join(total, names).withColumn("neighbours", F.greatest(F.col("found") - 1, F.lit(0))).drop("found")
 
@@ -208,11 +216,19 @@ def pairs_within(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray,
         total = np.array([index.counts(ax, ay, np.full(len(ax), r)).sum() for r in radii], np.int64)
         return (total - len(ax)) // 2 if same else total
     found = np.zeros(len(radii) + 1, np.int64)
-    for i in range(len(ax)):
-        dx, dy = (np.abs(v[i + 1 if same else 0 :] - w) for v, w in ((bx, ax[i]), (by, ay[i])))
+    # both sets in the order of x: only points within the largest radius along x are looked at
+    a, b = np.argsort(ax, kind="stable"), np.argsort(bx, kind="stable")
+    ax, ay, bx, by = ax[a], ay[a], bx[b], by[b]
+    far = float(radii[-1]) if len(radii) else -1.0
+    step = max(1, 2_000_000 // max(1, len(bx)))
+    for at in range(0, len(ax), step):
+        x, y = ax[at : at + step], ay[at : at + step]
+        low, high = np.searchsorted(bx, x[0] - far, "left"), np.searchsorted(bx, x[-1] + far, "right")
+        dx, dy = np.abs(bx[None, low:high] - x[:, None]), np.abs(by[None, low:high] - y[:, None])
         d = np.hypot(dx, dy) if metric == "euclidean" else np.maximum(dx, dy)
-        found += np.bincount(np.searchsorted(radii, d, side="left"), minlength=len(found))
-    return np.cumsum(found[:-1])
+        found += np.bincount(np.searchsorted(radii, d.ravel(), side="left"), minlength=len(found))
+    total = np.cumsum(found[:-1])
+    return (total - len(ax)) // 2 if same else total
 
 
 def pair_distance_counts(positions: DataFrame, radii: DataFrame, neighborhood: str, max_grid_step: int, metric: str) -> DataFrame:
@@ -228,19 +244,34 @@ def pair_distance_counts(positions: DataFrame, radii: DataFrame, neighborhood: s
     jobs = own.union(cross)
     grids = radii.groupBy("lane", "surface").agg(F.array_sort(F.collect_list("radius")).alias("radii"))
     jobs = jobs.join(F.broadcast(grids), jobs.lane.eqNullSafe(grids.lane) & (jobs.surface == grids.surface)).select(jobs.lane, jobs.surface, "a_tile", "b_tile", "radii")
-    points = positions.groupBy("lane", "surface", "tile").agg(F.collect_list("gx").alias("px"), F.collect_list("gy").alias("py"))
-    for end in "ab":
-        side = points.select(F.col("lane").alias("lane_"), F.col("surface").alias("surface_"), F.col("tile").alias("tile_"), F.col("px").alias(f"{end}_x"), F.col("py").alias(f"{end}_y"))
-        jobs = jobs.join(side, F.col("lane").eqNullSafe(F.col("lane_")) & (F.col("surface") == F.col("surface_")) & (F.col(f"{end}_tile") == F.col("tile_"))).drop("lane_", "surface_", "tile_")
-
-    @F.pandas_udf("array<bigint>")
-    def counted(same: pd.Series, ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, grid: pd.Series) -> pd.Series:
-        points = zip(ax, ay, bx, by)
-        return pd.Series([pairs_within(*(np.asarray(v, float) for v in p), np.asarray(g, float), bool(s), metric) for s, p, g in zip(same, points, grid)])
-
-    each = jobs.select("lane", "surface", "radii", counted(F.col("a_tile") == F.col("b_tile"), "a_x", "a_y", "b_x", "b_y", "radii").alias("counts"))
-    each = each.select("lane", "surface", F.explode(F.arrays_zip("radii", "counts")).alias("x"))
-    return each.groupBy("lane", "surface", F.col("x.radii").alias("radius")).agg(F.sum("x.counts").alias("pairs"))
+    # tiles in blocks: a task holds two blocks of points, however many a tile has
+    jobs = jobs.select("*", F.monotonically_increasing_id().alias("job"))
+    jobs = materialize(jobs, "jobs")
+    blocks = F.broadcast(tiles.select("lane", "surface", "tile", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks")))
+    points = positions.join(blocks, ["lane", "surface", "tile"]).withColumn("block", F.pmod(F.xxhash64("gx", "gy"), F.col("blocks")).cast("int"))
+    sides = []
+    for end, other in ("ab", "ba"):
+        told = jobs.select("job", "lane", "surface", F.col(f"{end}_tile").alias("tile"), F.col(f"{other}_tile").alias("other"))
+        size = blocks.select("lane", "surface", F.col("tile").alias("other"), F.col("blocks").alias("others"))
+        each = points.join(F.broadcast(told.join(size, ["lane", "surface", "other"])), ["lane", "surface", "tile"])
+        # within a tile a pair of blocks is met once, as (i, j) with i <= j
+        met = F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda o: (F.col("tile") != F.col("other")) | ((o >= F.col("block")) if end == "a" else (o <= F.col("block"))))
+        i, j = ("block", "o_") if end == "a" else ("o_", "block")
+        sides.append(each.select("job", "block", "gx", "gy", F.explode(met).alias("o_")).select(F.col("job").alias(f"{end}_job"), F.col(i).alias(f"{end}_i"), F.col(j).alias(f"{end}_j"), F.col("gx").cast("double").alias("x"), F.col("gy").cast("double").alias("y")))
+    told = {r.job: (r.a_tile == r.b_tile, [float(x) for x in r.radii]) for r in jobs.collect()}
+    shared = positions.sparkSession.sparkContext.broadcast(told)
+
+    def counted(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        one_tile, grid = shared.value[int(key[0])]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"job": [], "radius": [], "n": []})
+        same = one_tile and key[1] == key[2]
+        n = pairs_within(*(v.to_numpy(float) for v in (a.x, a.y, b.x, b.y)), np.asarray(grid, float), bool(same), metric)
+        return pd.DataFrame({"job": int(key[0]), "radius": grid, "n": n})
+
+    each = sides[0].groupBy("a_job", "a_i", "a_j").cogroup(sides[1].groupBy("b_job", "b_i", "b_j")).applyInPandas(counted, "job bigint, radius double, n bigint")
+    named = F.broadcast(jobs.select("job", "lane", "surface"))
+    return each.join(named, "job").groupBy("lane", "surface", "radius").agg(F.sum("n").alias("pairs"))
 
 
 def null_cdf(counts: DataFrame, groups: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def _q_values(units: DataFrame, permuted: DataFrame | None, config: Config) -> t
     out, mixture = multiplicity.local_fdr(units, config.pi0_lambda)
     out = materialize(out, "lfdr")
     out = multiplicity.local_fdr_q(out)
-    out = multiplicity.by_q(multiplicity.bh_q(out))
+    out = multiplicity.by_from_bh(multiplicity.bh_q(out))
     methods = {"local_fdr": "q_local_fdr", "bh": "q_bh", "by": "q_by"}
     if permuted is not None and config.permutations:
         out = multiplicity.permutation_q(out, permuted.where(F.col("replicate") != CONTROL), config.permutations)
@@ -97,7 +97,7 @@ def _q_values(units: DataFrame, permuted: DataFrame | None, config: Config) -> t
     return materialize(multiplicity.without_evidence(out, [*methods.values(), "local_fdr"]), "units"), methods, mixture
 
 
-def analyse(spark: SparkSession, reads: DataFrame, meta: dict, config: Config) -> Analysis:
+def analyse(spark: SparkSession, reads: DataFrame, meta: dict, config: Config, step=lambda name, text='': None) -> Analysis:
     """Everything between reading and writing. ``reads`` as from ``sources.fastq.to_reads``."""
     config.validate()
     convention = geometry.tile_convention(reads.where("tile is not null").select("tile").distinct())
@@ -113,11 +113,13 @@ def analyse(spark: SparkSession, reads: DataFrame, meta: dict, config: Config) -
     retrieval["retrieved_candidate_pair_relations"] = edges.count()
     candidates.check_candidates(retrieval["retrieved_candidate_pair_relations"], config.max_candidates, retrieval)
 
+    step("candidates", f"pairs={retrieval['retrieved_candidate_pair_relations']:,}")
     scored = materialize(quality.score_pairs(quality.with_reads(edges, reads, ["bases", "quals"]), priors), "scored")
     rule, refusal = quality.eligibility(config.sequence_min_p, config.min_log10_bayes_factor)
     relations = candidates.lane_relations(reads)
     prior, used, rounds = quality.same_template_prior(scored, rule, relations)
 
+    step("scores", f"prior={prior:.4g}")
     eligible = Ordered(scored.where(rule).withColumn("posterior", quality.posterior(used)), "l", "r").rank("edge_id").result()
     eligible = eligible.withColumn("edge_id", F.col("edge_id").cast("bigint"))
     tested = materialize(_measure(eligible, positions, config), "tested")
@@ -138,6 +140,7 @@ def analyse(spark: SparkSession, reads: DataFrame, meta: dict, config: Config) -
 
     units = materialize(test(tested, positions), "hypotheses")
 
+    step("tests")
     # the control and all replicates in one pass: the replicate is a grouping key
     ends = tested.select(F.col("l").alias("pair_index")).union(tested.select(F.col("r").alias("pair_index"))).distinct()
     shuffled = spatial.shuffled_positions(positions, config.permutations + 1, config.null_check_seed, PLACE, ends)
@@ -145,6 +148,7 @@ def analyse(spark: SparkSession, reads: DataFrame, meta: dict, config: Config) -
     pairs = tested.select("l", "r", "edge_id").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(config.permutations))))
     permuted = materialize(test(_measure(pairs, shuffled, config, ["replicate"]), shuffled, ["replicate"]).select("replicate", "id", "p", "nearest_distance"), "permuted")
 
+    step("permutations", f"replicates={config.permutations}")
     control_p = {"permutation": permuted.where(F.col("replicate") == CONTROL).select("id", "p")}
     refused = scored.where(refusal).select("l", "r", F.monotonically_increasing_id().alias("edge_id"))
     refused = materialize(refused, "refused")
@@ -181,11 +185,11 @@ def run(spark: SparkSession, config: Config, command: list[str] | None = None) -
     log("run", "status=start")
     pairs = fastq.read_pairs(spark, config.r1, config.r2)
     reads, meta = fastq.to_reads(pairs, config.unparsed)
-    log("load", f"pairs={meta['read_count']:,} unparsed={meta['unparsed']:,}")
-    found = analyse(spark, reads, meta, config)
-    log("fdr", f"method={found.method} pi0={found.mixture.pi0:.6g}")
+    log.step("load", f"pairs={meta['read_count']:,} unparsed={meta['unparsed']:,}")
+    found = analyse(spark, reads, meta, config, log.step)
+    log.step("q-values", f"method={found.method} pi0={found.mixture.pi0:.6g}")
     counts = sink.write_filtered(pairs, found.removed.select(F.col("read").alias("pair_index")), config.output_r1, config.output_r2, config.gzip_level)
-    log("write", f"kept={counts[0]:,} removed={counts[1]:,}")
+    log.step("write", f"kept={counts[0]:,} removed={counts[1]:,}")
     if config.candidate_audit:
         audits.write_candidate_audit(found, config.candidate_audit)
     if config.removed_audit:

@@ -1,8 +1,9 @@
 """Tables written to the folder that the driver and all executors share.
 
 Iterative plans and results that several later steps read are cut here. The
-folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(local tests) a folder of our own is made and removed at exit.
+folder is the session's ``spark.checkpoint.dir``; only where that is unset and Spark runs
+locally a folder of our own is made and removed at exit: on a cluster its executors would
+not see it, so there the setting is demanded.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         path = tempfile.mkdtemp(prefix="tilesieve-")
