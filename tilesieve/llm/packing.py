@@ -45,7 +45,7 @@ BLOCK = 4096
 ISLANDS = 4
 POPULATION = 4
 EPOCHS = 3
-GENERATIONS = 16
+GENERATIONS = 8
 ROUNDS = 4
 
 #: The pre-token pattern of byte-level vocabularies of the GPT-2 kind.
@@ -325,9 +325,7 @@ def _evolve(state: DataFrame, capacity: int, population: int, generations: int,
 
     arrow = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())), ("population", pa.list_(pa.list_(pa.int32()))), ("elite", pa.list_(pa.int32())), ("sequences", pa.int32()), ("fullness", pa.float64())])
     schema = "block bigint, island int, lengths array<int>, population array<array<int>>, elite array<int>, sequences int, fullness double"
-    # told how many tasks, Spark does not gather small populations in one
-    tasks = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return state.repartition(tasks, "block", "island").groupBy("block", "island").applyInArrow(run, schema)
+    return state.groupBy("block", "island").applyInArrow(run, schema)
 
 
 def _ring(state: DataFrame) -> DataFrame:
