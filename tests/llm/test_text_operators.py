@@ -95,9 +95,42 @@ def test_genetics_keep_every_piece():
     assert island.fitness(out[0]) >= island.fitness(first)
 
 
+def test_genetics_beat_best_fit_on_hard_lengths():
+    """Two or three pieces a sequence: best fit, longest first, leaves room that the search and the genetics fill."""
+    r = np.random.default_rng(3)
+    lengths = -np.sort(-r.integers(250, 520, 2048))
+    island = packing.Evolution(lengths, 1024, np.random.default_rng(1))
+    plain = island.fresh(0.0)
+    start = [plain, island.fresh(0.02), island.fresh(0.04), island.filled()]
+    best = max(island.fitness(g)[0] for g in start)
+    out = island.run(start, packing.GENERATIONS)
+    assert all(np.bincount(g, lengths).max() <= 1024 and len(g) == 2048 for g in (*start, *out))
+    assert island.fitness(out[0])[0] > island.fitness(plain)[0] and island.fitness(out[0])[0] >= best
+
+
+def test_added_tokens_are_the_library_s(vocabulary):
+    from tokenizers import Tokenizer
+
+    own, fresh = packing.Encoder(vocabulary), Tokenizer.from_file(vocabulary)
+    for t in ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", " <|endoftext|>\n <|pad|>", "\u00a0<|endoftext|>\u2003y", "<|endoftext", "<|ENDOFTEXT|>"]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+
+
 # --- line dedup -----------------------------------------------------------------
 
 
+def test_one_very_long_line(spark):
+    """A line of a hundred thousand characters and a copy with one edit; the edit bound as a parameter."""
+    r = random.Random(5)
+    line = "".join(r.choice("abcdefgh ") for _ in range(100_000))
+    docs = spark.createDataFrame([(1, line), (2, line[:70_000] + "X" + line[70_001:]), (3, "a" * 20_000), (4, "a" * 19_999), (5, line + "YZ"), (6, "ab"), (7, "abc")], "doc_id bigint, text string")
+    got = {x.doc_id: x.n_dropped for x in line_dedup.dedup(docs).select("row.doc_id", "n_dropped").collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0, 7: 1}
+    assert {x.n_dropped for x in line_dedup.dedup(docs, edits=0).collect()} == {0}
+    with pytest.raises(ValueError):
+        line_dedup.dedup(docs, edits=2)
+
+
 def one_edit(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
@@ -444,6 +477,33 @@ def test_links_keep_all_classes(spark, cell):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(cls.values()))
 
 
+def test_pivots_discard_and_verify():
+    """Every pair of a cell is discarded by pivots or verified; both happen."""
+    r = random.Random(9)
+    low = r.getrandbits(32)
+    members = {low | r.getrandbits(32) << 32 for _ in range(300)}
+    members |= {m ^ (1 << 40) for m in list(members)[:20]}
+    tally = {}
+    found = simhash.cell_links(np.array(sorted(members), np.uint64), 2, tally)
+    assert len(found) == sum(1 for m in members if (m ^ (1 << 40)) in members) // 2
+    assert tally["discarded"] > tally["verified"] > 0
+    pair = {}
+    assert simhash.cell_links(np.array([7, 6], np.uint64), 2, pair) and pair == {"discarded": 0, "verified": 1}
+
+
+@pytest.mark.parametrize("cell", [4, 40])
+def test_large_cells_are_dealt_by_pivots(spark, cell, monkeypatch):
+    """One quarter pair shared by all: the cell is dealt on by pivot windows, and links survive."""
+    r = random.Random(6)
+    low = r.getrandbits(32)
+    prints = {low | r.getrandbits(32) << 32 for _ in range(120)}
+    prints |= {p ^ (1 << 35) ^ (1 << 60) for p in list(prints)[:30]}
+    nodes = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp bigint")
+    found = {frozenset((a % 2**64, b % 2**64)) for a, b in map(tuple, simhash.links(nodes, cell=cell).collect())}
+    want = {frozenset((a, b)) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2}
+    assert found <= want and {x for p in found for x in p} == {x for p in want for x in p}
+
+
 # --- quality classifier ---------------------------------------------------------
 
 
