@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tilesieve.llm import exact_dedup, packing, quality_fm, quality_rules, simhash
 from tilesieve.llm.common import table
 from tilesieve.llm.queries import vocabulary
-from tilesieve.plans.shared import materialize
+from tilesieve.plans.shared import discard, materialize
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        discard(docs)  # a stage's copy goes as soon as the next one is written
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
