@@ -22,10 +22,11 @@ import hashlib
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilesieve.llm.common import map_rows
 from tilesieve.plans.shared import materialize
 
 COUNTERS = 1024
@@ -101,15 +102,25 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counte
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    tagged = docs.select(
-        F.struct("*").alias("row"),
-        F.col(id_col).cast("bigint").alias("id"),
-        text_digest(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("digest"),
-    )
-    tagged = materialize(tagged.withColumn("row_id", F.monotonically_increasing_id()), "tagged")
-    winners = F.broadcast(_winners(tagged.select("digest", "id", "row_id"), counters))
-    hot = tagged.join(winners, "digest").where("row_id = winner.row_id").select("row")
-    order = Window.partitionBy("digest").orderBy(F.col("id").desc(), F.col("row_id").desc())
-    rest = tagged.join(winners, "digest", "left_anti").withColumn("place", F.row_number().over(order)).where("place = 1").select("row")
-    return hot.union(rest).select("row.*")
+    """The rows that stay, with all their columns.
+
+    The rows are written down without Python and digested from there: a Python function
+    beside other columns holds the whole rows of its batches in the heap of the task that
+    reads and writes them.
+    """
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"))
+    rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+
+    def start():
+        def step(ids, row_ids, texts):
+            return [[hashlib.sha256(t.encode().lower()).digest() for t in texts], ids, row_ids]
+
+        return step
+
+    tagged = map_rows(rows.select("id", "row_id", text.alias("text")), "digest binary, id bigint, row_id bigint", start)
+    tagged = materialize(tagged, "digests")
+    winners = F.broadcast(_winners(tagged, counters))
+    others = tagged.join(winners, "digest", "left_anti").groupBy("digest").agg(F.max(F.struct("id", "row_id")).alias("winner"))
+    stay = winners.select("winner.row_id").union(others.select("winner.row_id"))
+    return rows.join(stay, "row_id", "left_semi").select("row.*")
