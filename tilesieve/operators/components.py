@@ -11,7 +11,7 @@ edges never meet in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tilesieve.plans.shared import discard, materialize
@@ -30,27 +30,44 @@ HEAVY = 512
 LEAST = 1024  # edges that a node needs to be a hub
 
 
-def _with_lowest(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """Each edge with its node's row of ``low`` (``u, m`` and the node's edges ``n``)."""
-    least = max(LEAST, total // HEAVY)
-    if total <= least:
+def _lowest(edges: DataFrame, least: Column, total: int) -> tuple[DataFrame, int]:
+    """Each node's minimum (``u, m`` and its edges ``n``) and the edges that a hub has at least,
+    0 where there is no hub. Of more than a few edges the minima are written down: what reads
+    them several times would repeat all that made them in its own plan."""
+    low = edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
+    bound = max(LEAST, total // HEAVY)
+    if total <= bound:
+        return low, 0
+    seen = Observation()
+    low = materialize(low.observe(seen, F.count(F.when(F.col("n") > bound, 1)).alias("hubs")), "lowest")
+    return low, bound if seen.get["hubs"] else 0
+
+
+def _with_lowest(edges: DataFrame, low: DataFrame, bound: int) -> DataFrame:
+    """Each edge with its node's row of ``low``; nodes with over ``bound`` edges are hubs."""
+    if not bound:
         return edges.join(low.drop("n"), "u")
-    hubs = F.broadcast(low.where(F.col("n") > least).drop("n"))
-    others = edges.join(hubs.select("u"), "u", "left_anti").join(low.where(F.col("n") <= least).drop("n"), "u")
+    hubs = F.broadcast(low.where(F.col("n") > bound).drop("n"))
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(low.where(F.col("n") <= bound).drop("n"), "u")
     return edges.join(hubs, "u").union(others)
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _round(edges: DataFrame, total: int) -> tuple[DataFrame, tuple]:
+    """A large star and a small star. Each is a job of its own, so that the driver never holds
+    the plan of both, in which the edges would stand some fifty times."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    return _with_lowest(both, low, total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    return _with_lowest(edges, low, total).select(
+    low, bound = _lowest(both, F.least(F.min("v"), F.col("u")), total)
+    large = _with_lowest(both, low, bound).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    if total > LEAST:
+        large = materialize(large, "large")
+        discard(low)
+    low, bound = _lowest(large, F.min("v"), total)
+    small = _with_lowest(large, low, bound).select(
         F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
     ).select("e.u", "e.v").where("u != v").distinct()
+    out = _settled_form(small)
+    discard(low, large)
+    return out
 
 
 def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
@@ -64,7 +81,7 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        after, now = _settled_form(_small_star(_large_star(e, seen[0]), seen[0]))
+        after, now = _round(e, seen[0])
         discard(e)
         e = after
         if now == seen:
