@@ -22,6 +22,12 @@ Hashes of beginnings and ends are chained over chunks, so a variant costs a chun
 and not the line, however long it is, and the rows of its windows carry the few chunks
 that they need.
 
+Texts are large beside what is learnt of them, so few are shuffled: only those of
+documents with a line to compare, and in the end those of documents that lose a
+line. Which these are, and which halves occur twice at all, a scan tells by a
+broadcast bitmap of hashes (``marked``), 16 MB of bits at most: a bit that another
+hash has set costs a row in a shuffle and changes nothing, since joins decide.
+
 Edge cases: null texts count as empty, that is one line without visible
 characters; rows with one id and one text are one document and get the same
 result; rows with one id and different texts are different documents in an
@@ -35,14 +41,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilesieve.plans.shared import materialize
+from tilesieve.plans.shared import discard, materialize
 
 MIN_CHARS = 0
 SHORT = 8  # lines that emit variants whatever their halves
 CHUNK = 64
+BITS = 1 << 27  # of a bitmap, at most: 8 or more for each of up to 16 million hashes
+AGGREGATE = 1 << 15  # bits of a result of bitmap_construct_agg
+PIECE = 1 << 10  # bits of a row of the broadcast
 VISIBLE = r"{} rlike '[^\\x20\\x09-\\x0D]'"
 
 
+def marked(df: DataFrame, key: Column, hashes: DataFrame) -> DataFrame:
+    """``df`` and ``may``: true wherever ``key`` is among the column ``h`` of ``hashes``, and
+    for few other rows. ``hashes`` is materialized, for it is counted."""
+    n, bits = hashes.count(), AGGREGATE
+    while bits < min(8 * n, BITS):
+        bits *= 2
+    places = hashes.select(F.pmod("h", F.lit(bits)).alias("at")).select(F.expr(f"at div {AGGREGATE}").alias("bucket"), (F.col("at") % AGGREGATE).alias("bit"))
+    maps = places.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    rows = AGGREGATE // PIECE
+    pieces = maps.select("bucket", F.posexplode(F.expr(f"transform(sequence(0, {rows - 1}), i -> substring(map, i * {PIECE // 8} + 1, {PIECE // 8}))")).alias("no", "bitmap"))
+    pieces = pieces.select((F.col("bucket") * rows + F.col("no")).alias("piece"), "bitmap")
+    asked = df.withColumn("at", F.pmod(key, F.lit(bits))).withColumn("piece", F.expr(f"at div {PIECE}"))
+    bit = f"cast(at % {PIECE} as int)"
+    byte = f"cast(conv(hex(substring(bitmap, {bit} div 8 + 1, 1)), 16, 10) as int)"
+    return asked.join(F.broadcast(pieces), "piece", "left").withColumn("may", F.expr(f"coalesce(shiftright({byte}, {bit} % 8) % 2 = 1, false)")).drop("at", "piece", "bitmap")
+
+
 def _lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -90,12 +116,17 @@ def candidates(lines: DataFrame, min_chars: int) -> DataFrame:
         )
     )
     each = lines.where("a1 is not null").select("k1", "k2", "place", "n", F.explode(F.filter(ends, lambda x: x.isNotNull())).alias("e")).select("k1", "k2", "place", "n", "e.*")
+    half = F.xxhash64("from_start", "c", "h")
+    twice = materialize(each.groupBy(half.alias("h")).agg(F.count("*").alias("k")).where("k > 1").select("h"), "halves")
+    each = marked(each, half, twice).where("may").drop("may")
     key = ["from_start", "c", "h", "n"]
     counts = each.groupBy(*key).agg(F.count("*").alias("own"))
     near = counts.select("from_start", "c", "h", F.explode(F.array(F.struct((F.col("n") - 1).alias("n"), F.lit(0).cast("bigint").alias("own"), F.col("own").alias("all")), F.struct("n", "own", F.col("own").alias("all")), F.struct((F.col("n") + 1).alias("n"), F.lit(0).cast("bigint").alias("own"), F.col("own").alias("all")))).alias("x"))
     shared = near.select("from_start", "c", "h", "x.*").groupBy(*key).agg(F.sum("own").alias("own"), F.sum("all").alias("all")).where("own > 0 and all > 1").select(key)
     short = lines.where(F.col("n").between(min_chars, SHORT)).select("k1", "k2", "place", F.lit(True).alias("from_start"), F.lit(0).alias("c"))
-    return each.join(shared, key).select("k1", "k2", "place", "from_start", "c").union(short)
+    found = materialize(each.join(shared, key).select("k1", "k2", "place", "from_start", "c").union(short), "candidates")
+    discard(twice)
+    return found
 
 
 def _with_chunks(lines: DataFrame) -> DataFrame:
@@ -155,24 +186,38 @@ def near_partners(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFram
     """``(k1, k2, partner)``: lines with an earlier line within one edit, and its place."""
     found = candidates(lines, min_chars)
     wanted = found.groupBy("place.id", "place.version").agg(F.collect_list(F.struct("k1", "k2", "place", "from_start", "c")).alias("wanted"))
-    same = wanted.id.eqNullSafe(docs.id) & (wanted.version == docs.version)
-    each = docs.join(wanted, same).select(_lines_of(F.col("text")).alias("lines"), F.explode("wanted").alias("w"))
+    hashes = materialize(wanted.select(F.xxhash64("id", "version").alias("h")), "wanted")
+    few = marked(docs, F.xxhash64("id", "version"), hashes).where("may")
+    same = wanted.id.eqNullSafe(few.id) & (wanted.version == few.version)
+    each = few.join(wanted, same).select(_lines_of(F.col("text")).alias("lines"), F.explode("wanted").alias("w"))
     survivors = materialize(each.select("w.*", F.expr("get(lines, w.place.no)").alias("line")).distinct(), "survivors")
+    discard(found, hashes)
     keyed = variants(survivors, windows(survivors))
     partner = F.min("place").over(Window.partitionBy("key1", "key2"))
     hits = keyed.select("place", partner.alias("partner")).where("partner < place").groupBy("place").agg(F.min("partner").alias("partner"))
     text = survivors.select("k1", "k2", "place", "line").distinct()
     own = hits.join(text, "place")
     other = text.select(F.col("place").alias("partner"), F.col("line").alias("partner_line"))
-    return own.join(other, "partner").where(F.levenshtein("line", "partner_line", 1).between(0, 1)).select("k1", "k2", "partner")
+    near = materialize(own.join(other, "partner").where(F.levenshtein("line", "partner_line", 1).between(0, 1)).select("k1", "k2", "partner"), "partners")
+    discard(survivors)
+    return near
 
 
 def kept_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """``(id, version, kept)``: the places, in order, of lines that stay, blank ones aside."""
+    """``(id, version, kept)`` for documents that lose a line: the places of the lines that
+    stay, blank ones aside. Materialized."""
     lines = stay = materialize(distinct_lines(docs, min_chars), "lines")
+    near = None
     if edits:
-        stay = lines.join(near_partners(docs, lines, min_chars).select("k1", "k2"), ["k1", "k2"], "left_anti")
-    return stay.groupBy("place.id", "place.version").agg(F.collect_list("place.no").alias("kept"))
+        near = near_partners(docs, lines, min_chars)
+        stay = lines.join(near.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    split = docs.select("id", "version", _lines_of(F.col("text")).alias("lines"))
+    visible = split.select("id", "version", F.expr(f"size(filter(lines, x -> {VISIBLE.format('x')}))").alias("visible"), F.lit(None).cast("int").alias("no"))
+    both = visible.union(stay.select("place.id", "place.version", F.lit(None).cast("int"), "place.no"))
+    by_document = both.groupBy("id", "version").agg(F.max("visible").alias("visible"), F.collect_list("no").alias("kept"))
+    out = materialize(by_document.where("size(kept) < visible").select("id", "version", "kept"), "kept")
+    discard(lines, near)
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -183,12 +228,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
     own = _documents(docs, id_col, text_col)
     kept = kept_lines(own, edits, min_chars)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    full = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("version"), _lines_of(text).alias("lines"))
+    full = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("version"))
+    full = marked(full, F.xxhash64("id", "version"), kept.select(F.xxhash64("id", "version").alias("h")))
     kept = kept.select(F.col("id").alias("kept_id"), F.col("version").alias("kept_version"), "kept")
-    both = full.join(kept, full.id.eqNullSafe(F.col("kept_id")) & (full.version == F.col("kept_version")), "left")
+    met = full.where("may")
+    met = met.join(kept, met.id.eqNullSafe(F.col("kept_id")) & (met.version == F.col("kept_version")), "left").select("row", "kept")
+    both = met.union(full.where("not may").select("row", F.lit(None).cast("array<int>")))
+    lines = _lines_of(F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit("")))
     blank = F.expr(f"filter(sequence(0, size(lines) - 1), i -> not {VISIBLE.format('get(lines, i)')})")
-    stay = F.array_sort(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blank))
-    out = both.withColumn("stay", stay)
+    stay = F.when(F.col("kept").isNull(), F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array_sort(F.concat("kept", blank)))
+    out = both.withColumn("lines", lines).withColumn("stay", stay)
     return out.select(
         "row",
         F.size("lines").cast("bigint").alias("n_lines"),
