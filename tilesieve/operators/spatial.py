@@ -317,7 +317,8 @@ def read_test(edges: DataFrame, positions: DataFrame, frame: Frame, neighborhood
     points = positions if points is None else points
     near = nearest_partner(edges, keys)
     where = positions.select(*keys, F.col("pair_index").alias("read"), "lane", "surface", "col", "row", "gx", "gy")
-    asked = near.join(where, [*keys, "read"]).withColumn("radius", F.col("nearest_distance"))
+    # three plans read it, which would each make the edges anew
+    asked = materialize(near.join(where, [*keys, "read"]).withColumn("radius", F.col("nearest_distance")), "nearest")
     sizes = points.groupBy("lane", "surface").agg((F.count("*") - 1).alias("population"))
     sizes = F.broadcast(sizes.select(F.col("lane").alias("l_"), F.col("surface").alias("s_"), "population"))
     counted = neighbour_counts(points, asked.where("radius is not null"), [*keys, "read"], frame, neighborhood, metric)
