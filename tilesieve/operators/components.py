@@ -1,7 +1,8 @@
 """Connected components of an edge table (AGG-23).
 
 Alternating large-star and small-star rounds (Kiveris et al., "Connected
-Components in MapReduce and Beyond"): every round is two aggregations with
+Components in MapReduce and Beyond"), after each task has thinned out the edges that it
+holds to an edge a node: every round is two aggregations with
 map-side combine and two equi joins, the edge table never grows, and the number
 of rounds is logarithmic in practice even for long chains. Nothing is gathered
 on the driver but one row of checksums a round. Nodes with over a ``HEAVY``-th of all
@@ -11,6 +12,8 @@ edges never meet in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -26,6 +29,57 @@ def _settled_form(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (seen.get["edges"], seen.get["hashes"])
 
 
+#: Edges that a task thins out at once.
+FOREST = 1 << 20
+
+
+def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Each node's component, by its smallest number: minima go over the edges, and along the
+    labels themselves, until nothing changes."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while True:
+            further = label[label]
+            if np.array_equal(further, label):
+                break
+            label = further
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """``(u, v)`` with the components of the edges ``(u, v)``, and fewer of them: a task links
+    each node of a batch of its edges with the smallest that it reaches within the batch.
+
+    Where the edges of a component lie together, as they do behind the join that made them,
+    what is left is an edge a node. Memory is that of a batch, and nothing is shuffled.
+    """
+
+    def run(batches):
+        def out(parts):
+            u, v = (np.concatenate([p[i] for p in parts]) for i in range(2))
+            nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+            label = _labels(place[: len(u)], place[len(u) :], len(nodes))
+            other = np.flatnonzero(label != np.arange(len(nodes)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[label[other]])], names=["u", "v"])
+
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)])
+            size += batch.num_rows
+            if size >= FOREST:
+                yield out(waiting)
+                waiting, size = [], 0
+        if size:
+            yield out(waiting)
+
+    return edges.mapInArrow(run, "u bigint, v bigint")
+
+
 HEAVY = 512
 LEAST = 1024  # edges that a node needs to be a hub
 
@@ -70,6 +124,30 @@ def _round(edges: DataFrame, total: int) -> tuple[DataFrame, tuple]:
     return out
 
 
+#: Nodes between stars up to which the stars that hold them are told apart from the rest.
+LOOSE = 100_000
+
+
+def _settled_apart(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The edges of components that are stars around their smallest node, as thinning leaves
+    those that one task held whole, and the others; None for none.
+
+    A node with edges to two smaller ones, or to a smaller and a larger one, joins stars;
+    stars without such a node share no node with any other edge.
+    """
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    seen = Observation()
+    loose = ends.groupBy("n").agg((F.sum("up") + F.max("down")).alias("both")).where("both > 1").select("n")
+    loose = materialize(loose.observe(seen, F.count("*").alias("loose")), "loose")
+    if not seen.get["loose"]:
+        return edges, None
+    if seen.get["loose"] > LOOSE:
+        return None, edges
+    few = F.broadcast(loose)
+    stars = F.broadcast(materialize(edges.join(few, F.col("u") == F.col("n")).select("v").union(edges.join(few, F.col("v") == F.col("n")).select("v")).distinct(), "stars"))
+    return edges.join(stars, "v", "left_anti").select("u", "v"), edges.join(stars, "v", "left_semi").select("u", "v")
+
+
 def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of the edges; component = smallest node id.
 
@@ -77,8 +155,11 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     that occur in self loops only do not appear. Ids are LONG.
     """
     e = edges.select(F.greatest(left, right).cast("long").alias("u"), F.least(left, right).cast("long").alias("v"))
-    e, seen = _settled_form(e.where(f"{left} is not null and {right} is not null and u != v").distinct())
-    for _ in range(max_rounds):
+    e, seen = _settled_form(thinned(e.where(f"{left} is not null and {right} is not null and u != v")).distinct())
+    settled, rest = _settled_apart(e)
+    if rest is not None and settled is not None:
+        e, seen = _settled_form(rest)
+    for _ in range(0 if rest is None else max_rounds):
         if not seen[0]:
             break
         after, now = _round(e, seen[0])
@@ -88,7 +169,10 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
             break
         seen = now
     else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+        if rest is not None:
+            raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+    if rest is not None and settled is not None:
+        e = settled.union(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tilesieve.operators.components import connected_components
@@ -42,7 +45,8 @@ def decide(tests: DataFrame, reads: DataFrame, q: str, target: float) -> DataFra
     parts = materialize(components(calls), "parts")
     members = parts.join(reads.select(F.col("pair_index").alias("read"), "quality_sum"), "read")
     best = representatives(members)
-    edges = calls.join(parts.select(F.col("read").alias("l"), "component"), "l").groupBy("component").agg(F.count("*").alias("component_edge_count"), F.min("q").alias("component_min_q"))
+    own = calls.groupBy("l").agg(F.count("*").alias("n"), F.min("q").alias("q"))
+    edges = own.join(parts.select(F.col("read").alias("l"), "component"), "l").groupBy("component").agg(F.sum("n").alias("component_edge_count"), F.min("q").alias("component_min_q"))
     ends = calls.select(F.col("l").alias("read"), F.col("r").alias("other"), "id", "q").union(calls.select(F.col("r").alias("read"), F.col("l").alias("other"), "id", "q"))
     support = ends.groupBy("read").agg(F.min(F.struct("q", "id", "other")).alias("s"))
     return (
@@ -64,20 +68,25 @@ def sensitivity(tests: DataFrame, methods: dict[str, str], thresholds: tuple[flo
     """Calls, components and removals by threshold and method (AGG-16, AGG-17).
 
     All thresholds and methods are one graph: a read's node is its index and, above
-    the lowest 40 bits, the number of the threshold and method.
+    the lowest 40 bits, the number of the threshold and method. The calls are counted as they
+    go into the graph; they are not written down or shuffled as such.
     """
     cases = [(t, name) for t in thresholds for name in methods]
-    hit = F.array(*(F.when(F.col(methods[name]) <= t, F.lit(i)) for i, (t, name) in enumerate(cases)))
-    calls = tests.where("l is not null and r is not null").select("l", "r", F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("case"))
-    calls = materialize(calls, "cases")
-    last = calls.agg(F.max(F.greatest("l", "r")), F.min(F.least("l", "r"))).first()
-    if last[0] is not None and (last[0] >= 1 << 40 or last[1] < 0):
-        raise ValueError("read numbers must be within 0 and 2**40")
+    named = tests.where("l is not null and r is not null")
+    hits = [F.col(methods[name]) <= t for t, name in cases]
+    seen = Observation()
+    numbers = [F.count_if(hit).alias(f"n{i}") for i, hit in enumerate(hits)]
+    last, first = F.max(F.when(some := reduce(or_, hits), F.greatest("l", "r"))).alias("last"), F.min(F.when(some, F.least("l", "r"))).alias("first")
+    hit = F.array(*(F.when(h, F.lit(i)) for i, h in enumerate(hits)))
+    calls = named.observe(seen, last, first, *numbers).select("l", "r", F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("case"))
     high = F.shiftleft(F.col("case").cast("bigint"), 40)
     parts = connected_components(calls.select((F.col("l") + high).alias("l"), (F.col("r") + high).alias("r")), "l", "r")
+    got = seen.get
+    if got["last"] is not None and (got["last"] >= 1 << 40 or got["first"] < 0):
+        raise ValueError("read numbers must be within 0 and 2**40")
     sizes = parts.groupBy(F.shiftright("node", 40).alias("case")).agg(F.count("*").alias("nodes"), F.count_if(F.col("node") == F.col("component")).alias("components"))
     found = {r.case: r for r in sizes.collect()}
-    edges = {r.case: r.n for r in calls.groupBy("case").agg(F.count("*").alias("n")).collect()}
+    edges = {i: got[f"n{i}"] for i in range(len(cases))}
 
     def row(case: int) -> dict:
         nodes, components = (found[case].nodes, found[case].components) if case in found else (0, 0)
